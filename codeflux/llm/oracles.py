@@ -1,3 +1,23 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {}
+
+_WORDS = rf"[x for x in regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
+
+ORACLES["op1_decontamination"] = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where item_id is not null),
+bw as (select distinct item, array_to_string(w[s:s + least(len(w), 8) - 1], ' ') as win, least(len(w), 8) as k
+       from (select item, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) as s from b where len(w) > 0)),
+ks as (select distinct k from bw),
+dw as (select doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') as win
+       from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, ks where len(w) >= k)),
+hit as (select doc_id, s, k, item from dw join bw using (k, win)),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from hit) group by doc_id),
+it as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hit group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join pos using (doc_id) left join it using (doc_id)
+"""
