@@ -21,3 +21,21 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from d left join pos using (doc_id) left join it using (doc_id)
 """
+
+ORACLES["op5_exact_topk"] = """
+with v as (select distinct vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+           where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from
+  (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+"""
+
+ORACLES["op8_warc_bundles"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
+g as (select digest, min(page_id) as first from p where n >= 100 group by digest having count(*) > 1)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+       case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when first is not null and page_id is distinct from first then first end as refers_to
+from p left join g using (digest)
+"""
