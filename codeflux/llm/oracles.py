@@ -39,3 +39,17 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
        case when first is not null and page_id is distinct from first then first end as refers_to
 from p left join g using (digest)
 """
+
+ORACLES["op9_jaccard_join"] = rf"""
+with recursive t as (select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+') if x <> ''] as w
+           from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i + k - 1], ' ') as s
+       from (select doc_id, w, least(len(w), 4) as k, unnest(range(1, len(w) - least(len(w), 4) + 2)) as i from t where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+same as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+link as (select x, y from same join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+edge as (select x, y from link union all select y, x from link),
+reach as (select x, y from edge union select r.x, e.y from reach r join edge e on r.y = e.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join (select x as doc_id, min(y) as low from reach group by x) m using (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, topk, warc
+from . import decontaminate, jaccard, mixing, topk, warc
 from .common import table
 
 
@@ -37,9 +37,15 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_groups(table(spark, sf_dir, "documents"), k=4, pct=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op8_warc_bundles": op8_warc_bundles,
+    "op9_jaccard_join": op9_jaccard_join,
 }
