@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, topk, warc
+from . import decontaminate, jaccard, mixing, suffixes, topk, warc
 from .common import table
 
 
@@ -42,10 +42,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op8_warc_bundles": op8_warc_bundles,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
