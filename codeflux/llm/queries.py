@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, suffixes, topk, warc
-from .common import table
+from . import decontaminate, jaccard, language, mixing, quality, suffixes, topk, toxicity, warc
+from .common import crc_bucket, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 5) == 0
+    weights, bias = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    scores = toxicity.score(docs, weights, bias)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 3) == 1
+    found = language.predict(docs, language.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 5) == 0
+    weights, _ = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scores = quality.score(docs, weights)
+    good = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", good.alias("predicted"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_topk": op5_exact_topk,
+    "op6_language_codes": op6_language_codes,
+    "op7_quality_pu": op7_quality_pu,
     "op8_warc_bundles": op8_warc_bundles,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
