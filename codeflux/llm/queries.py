@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, quality, suffixes, topk, toxicity, warc
+from . import decontaminate, jaccard, language, mixing, pii, quality, suffixes, topk, toxicity, warc
 from .common import crc_bucket, table
 
 
@@ -47,6 +47,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_kind(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 5) == 0
     weights, bias = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
@@ -71,6 +77,7 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_exact_topk": op5_exact_topk,
     "op6_language_codes": op6_language_codes,
