@@ -8,9 +8,12 @@ a key of its own, and frequent tokens are keys in combinations of two: tokens th
 of them meet in a prefix, and texts with enough rare tokens index no frequent ones at all. Sets above ``PAIR_SIZE`` use
 single frequent tokens; where sizes of both kinds can be similar, both are indexed.
 
-Nodes that share a key are candidates. In each key's list a hub (the smallest node outside the first's component) meets
-those of other components; what is still apart after ``STARS`` such rounds is compared pair by pair, unless the two sets
-are already in one component. Each candidate pair is verified on the sets themselves, with whole numbers.
+Nodes that share a key are candidates, if their sizes allow it. Sets that meet by frequent tokens have all their rare
+tokens in their prefixes, so unless they also meet by a rare one, they share none of these, and the rest must suffice.
+In each key's list a hub (the set with the fewest rare tokens: of near copies, the likely original) meets those of other
+components; what is still apart is compared pair by pair, unless the two sets are already in one component. Candidate
+pairs first compare parity sketches, half a byte a token, whose differing bits are a lower bound of the differing tokens;
+the rest are verified on the sets themselves, with whole numbers.
 
 Defined results: a null text is empty; without words a document's set is empty and links with nothing; fewer than k words
 are one shingle; rows that repeat, and equal texts, share a component; a null doc_id takes no part and has no component;
@@ -25,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import PACKED, Packer, count_bitmaps, member, sizes
-from .common import components, materialize, maybe_broadcast
+from .common import components, discard, materialize, maybe_broadcast, release
 from .tokens import SPACE, U, runs, shingles, utf8, words
 
-FREQUENT, PAIR_SIZE, STARS = 24, 256, 3
+FREQUENT, PAIR_SIZE, STARS = 24, 256, 2
 TOP = U(1) << U(63)
 
 
@@ -53,16 +56,17 @@ def _pack(k: int, slice_bits: int):
 
 
 def _prefixes(k: int, pct: int, maps):
-    """node, n and the keys of each set."""
+    """node, n, the number of rare tokens, the keys and the sketch of each set."""
 
-    def keys(s: np.ndarray) -> np.ndarray:
+    def keys(s: np.ndarray) -> tuple[int, np.ndarray]:
         n = len(s)
         often, known = maps.value
         order = np.sort((s >> U(1)) | np.where(member(often, s), TOP, U(0)))
+        scarce = int(np.searchsorted(order, TOP))
         seen = member(known, order << U(1)) | member(known, (order << U(1)) | U(1))
         p = n - (pct * n + 99) // 100 + 1
         if n <= 1:
-            return order[seen]
+            return scarce, order[seen]
         head, seen = order[: p + 1], seen[: p + 1]
         rare = head < TOP
         out = [head[rare & seen]]
@@ -73,21 +77,52 @@ def _prefixes(k: int, pct: int, maps):
         if n * 100 >= PAIR_SIZE * pct:
             single = head[:p]
             out.append(single[single >= TOP])
-        return np.concatenate(out)
+        return scarce, np.concatenate(out)
+
+    def sketch(s: np.ndarray) -> bytes:
+        bits = 1 << max(8, (4 * len(s) - 1).bit_length())
+        return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
     def run(batches):
         for node, sets in _sets(batches, k):
-            found = [keys(s) for s in sets]
+            counts, found = zip(*map(keys, sets))
             lens = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [node, pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                ["node", "n", "keys"],
+                [
+                    node,
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(counts, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
+                ],
+                ["node", "n", "rare", "keys", "sketch"],
             )
 
     return run
 
 
+def _fold(a: bytes, size: int) -> np.ndarray:
+    bits = np.frombuffer(a, np.uint8)
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), 0)
+
+
+def _possible(pct: int):
+    """The pairs whose sketches do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "x", "y"))):
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                # apart <= |x ^ y| = na + nb - 2 shared, and (100 + pct) shared >= pct (na + nb)
+                keep.append((100 + pct) * (na + nb - apart) >= 2 * pct * (na + nb))
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _packed_sets(k: int):
     """node and its set, six bytes a token."""
 
@@ -114,15 +149,22 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(same, pa.int64())], ["a", "b", "na", "nb", "shared"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
+def _both(pairs: DataFrame, cells: DataFrame, cell: str) -> DataFrame:
+    left = pairs.join(cells.select(F.col("node").alias("a"), F.col(cell).alias("x")), "a")
+    return left.join(cells.select(F.col("node").alias("b"), F.col(cell).alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, index: DataFrame, k: int, pct: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    close = materialize(_both(pairs, index, "sketch").mapInArrow(_possible(pct), "a bigint, b bigint, na int, nb int").distinct())
+    ids = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     chosen = texts.join(maybe_broadcast(ids), "node", "left_semi").select("node", "text")
-    sets = materialize(chosen.mapInArrow(_packed_sets(k), "node bigint, tokens binary"), "none").dropDuplicates(["node"])
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    found = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, shared bigint")
-    return materialize(found.where(f"100 * shared >= {pct} * (na + nb - shared)").select("a", "b"))
+    sets = materialize(chosen.mapInArrow(_packed_sets(k), "node bigint, tokens binary"), "none")
+    found = _both(close, sets, "tokens").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, shared bigint")
+    links = materialize(found.where(f"100 * shared >= {pct} * (na + nb - shared)").select("a", "b").distinct())
+    discard(close, ids, sets)
+    release(texts.sparkSession)
+    return links
 
 
 def similar_groups(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
@@ -143,38 +185,38 @@ def similar_groups(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     packed = every.mapInArrow(_pack(k, slice_bits), PACKED)
     often, twice = count_bitmaps(packed, bits, slice_bits, [FREQUENT, 2])
     maps = docs.sparkSession.sparkContext.broadcast((often, twice))
-    index = materialize(every.mapInArrow(_prefixes(k, pct, maps), "node bigint, n int, keys array<bigint>"))
+    index = materialize(every.mapInArrow(_prefixes(k, pct, maps), "node bigint, n int, rare int, keys array<bigint>, sketch binary"))
+    release(docs.sparkSession)
     sizes_of = index.groupBy("node").agg(F.max("n").alias("n"))
 
-    posts = index.join(maybe_broadcast(lone.select("node").distinct()), "node", "left_anti").select("node", "n", F.explode("keys").alias("key"))
+    posts = index.join(maybe_broadcast(lone.select("node").distinct()), "node", "left_anti").select("node", "n", "rare", F.explode("keys").alias("key"))
     lists = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     posts = materialize(posts.join(lists, "key").distinct())
     near = f"100 * least(na, nb) >= {pct} * greatest(na, nb)"
+    near += f" and (key > 0 or {100 + pct} * least(na - ra, nb - rb) >= {pct} * (na + nb))"
     comp = found = tried = None
     for turn in range(STARS + 1):
         here = posts.withColumn("c", F.col("node")) if comp is None else posts.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         if turn:
             split = here.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "c0")
             here = materialize(here.join(split, "key"))
-            posts = here.select("key", "node", "n")
-        if turn < STARS:
-            out = F.struct("node", "n", "c")
+            posts = here.select("key", "node", "n", "rare")
+        if turn < STARS:  # later stars are for the lists of frequent tokens only; those of rare ones are short
+            out = F.struct("rare", "node", "n", "c")
             hub = here.groupBy("key").agg(F.min(out if not turn else F.when(F.col("c") > F.col("c0"), out)).alias("h"))
-            met = here.join(hub, "key").where("c <> h.c").select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
+            met = here.join(hub.where("key < 0") if turn else hub, "key").where("c <> h.c")
+            met = met.selectExpr("key", "h.node as a", "node as b", "h.n as na", "n as nb", "h.rare as ra", "rare as rb").where(near)
         else:
-            one, two = here.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), here.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            met = one.join(two, "key").where("a < b and ca <> cb").select("a", "b", "na", "nb")
-        swap = F.col("a") > F.col("b")
-        met = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+            one, two = (here.selectExpr("key", f"node as {x}", f"n as n{x}", f"rare as r{x}", f"c as c{x}") for x in "ab")
+            met = one.join(two, "key").where(f"a < b and ca <> cb and {near}")
+        met = met.selectExpr("least(a, b) as a", "greatest(a, b) as b", "if(a > b, nb, na) as na", "if(a > b, na, nb) as nb").distinct()
         if tried is not None:
             met = met.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         met = materialize(met)
         if met.isEmpty():
-            if turn == STARS:
-                break
             continue
         tried = met if tried is None else tried.unionByName(met)
-        new = _links(met, every, k, pct)
+        new = _links(met, every, index, k, pct)
         found = new if found is None else found.unionByName(new)
         comp = components(found)
 
