@@ -1,0 +1,455 @@
+"""Lowering of Python source to flow facts: one module in, plain rows out.
+
+A function becomes basic blocks of operations. Normal edges follow control flow in the order the branches are written
+(a branch's first successor is the arm taken when its condition holds); exceptional edges run from the blocks of a try
+body to its handlers and its finally. The rows feed the fact tables of ``sources.facts``.
+"""
+
+from __future__ import annotations
+
+import ast
+import textwrap
+
+SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def dotted(node: ast.AST) -> str | None:
+    """Text of a name or attribute chain, else None."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        return ".".join([node.id, *reversed(parts)])
+    return None
+
+
+def loads(*nodes: ast.AST | None) -> list[str]:
+    """Names and attribute paths read by expressions, in order; names bound inside (lambdas, comprehensions, :=) are not."""
+    out: list[str] = []
+
+    def bound(target: ast.AST) -> set[str]:
+        return {n.id for n in ast.walk(target) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+
+    def visit(node: ast.AST | None, hidden: frozenset[str]) -> None:
+        if node is None:
+            return
+        if isinstance(node, ast.Name):
+            if isinstance(node.ctx, ast.Load) and node.id not in hidden:
+                out.append(node.id)
+        elif isinstance(node, ast.Attribute):
+            text = dotted(node)
+            if text and text.split(".")[0] not in hidden:
+                out.append(text)
+            visit(node.value, hidden)
+        elif isinstance(node, ast.Lambda):
+            a = node.args
+            for x in (*a.defaults, *a.kw_defaults):
+                visit(x, hidden)
+            own = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x}
+            visit(node.body, hidden | own)
+        elif isinstance(node, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
+            inner = hidden
+            for i, g in enumerate(node.generators):
+                visit(g.iter, hidden if i == 0 else inner)
+                inner = inner | bound(g.target)
+                for test in g.ifs:
+                    visit(test, inner)
+            for x in (node.key, node.value) if isinstance(node, ast.DictComp) else (node.elt,):
+                visit(x, inner)
+        elif isinstance(node, ast.NamedExpr):
+            visit(node.value, hidden)
+        else:
+            for child in ast.iter_child_nodes(node):
+                visit(child, hidden)
+
+    walrus = frozenset(n.target.id for x in nodes if x for n in ast.walk(x) if isinstance(n, ast.NamedExpr))
+    for x in nodes:
+        visit(x, walrus)
+    return out
+
+
+def targets(node: ast.AST) -> list[str]:
+    """Names and attribute paths that an assignment target binds; subscripts bind nothing."""
+    if isinstance(node, (ast.Tuple, ast.List)):
+        return [t for x in node.elts for t in targets(x)]
+    if isinstance(node, ast.Starred):
+        return targets(node.value)
+    text = dotted(node)
+    return [text] if text else []
+
+
+def inner_loads(node: ast.AST) -> list[str]:
+    """What an assignment target reads: the bases of attributes, bases and indices of subscripts."""
+    if isinstance(node, (ast.Tuple, ast.List)):
+        return [t for x in node.elts for t in inner_loads(x)]
+    if isinstance(node, ast.Starred):
+        return inner_loads(node.value)
+    if isinstance(node, ast.Attribute):
+        return loads(node.value)
+    if isinstance(node, ast.Subscript):
+        return loads(node.value, node.slice)
+    return []
+
+
+def store_bases(node: ast.AST) -> list[dict]:
+    """Attribute and subscript stores: what kind, on which root name."""
+    if isinstance(node, (ast.Tuple, ast.List)):
+        return [t for x in node.elts for t in store_bases(x)]
+    if isinstance(node, ast.Starred):
+        return store_bases(node.value)
+    if isinstance(node, (ast.Attribute, ast.Subscript)):
+        base = node.value
+        while isinstance(base, (ast.Attribute, ast.Subscript)):
+            base = base.value
+        if isinstance(base, ast.Name):
+            return [{"root": base.id, "path": "attr" if isinstance(node, ast.Attribute) else "item"}]
+    return []
+
+
+def calls(*nodes: ast.AST | None) -> list[dict]:
+    out = []
+    for x in nodes:
+        for n in ast.walk(x) if x is not None else ():
+            if isinstance(n, ast.Call):
+                args = [(dotted(a.value if isinstance(a, ast.Starred) else a) or "").split(".")[0] or None for a in n.args]
+                out.append({"func": dotted(n.func) or ("super()." + n.func.attr if isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Call) and dotted(n.func.value.func) == "super" else None), "args": args})
+    return out
+
+
+class _Function:
+    """Blocks, edges and operations of one function while its body is walked."""
+
+    def __init__(self, node: ast.AST):
+        self.blocks: list[dict] = []
+        self.edges: list[tuple[int, int, str]] = []
+        self.ops: list[dict] = []
+        self.loops: list[tuple[int, int]] = []
+        self.node = node
+        self.entry = self.at = self.block()
+
+    def block(self, **flags) -> int:
+        self.blocks.append({"block_id": len(self.blocks), "is_handler": False, "is_finally": False} | flags)
+        return len(self.blocks) - 1
+
+    def edge(self, a: int | None, b: int, kind: str = "n") -> None:
+        if a is not None and (a, b, kind) not in self.edges:
+            self.edges.append((a, b, kind))
+
+    def op(self, kind: str, node: ast.AST | None, targets_=(), uses=(), sub="", calls_=(), **more) -> None:
+        if self.at is None:
+            self.at = self.block()
+        row = {
+            "op_id": len(self.ops), "block_id": self.at, "kind": kind, "sub": sub, "targets": list(targets_), "uses": list(uses),
+            "line": getattr(node, "lineno", 0), "calls": list(calls_), "cond": None, "const": None, "exc": None, "stores": [], "synthetic": False,
+        }
+        self.ops.append(row | more)
+
+    # statements -----------------------------------------------------------------------------------------------------
+
+    def body(self, statements: list[ast.stmt]) -> None:
+        for s in statements:
+            getattr(self, "s_" + type(s).__name__, self.other)(s)
+
+    def other(self, s: ast.stmt) -> None:
+        self.op("other", s)
+
+    def s_FunctionDef(self, s) -> None:
+        a = s.args
+        own = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x}
+        stored = {n.id for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        free = sorted({n.id for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} - own - stored)
+        self.op("assign", s, [s.name], [*loads(*s.decorator_list, *a.defaults, *a.kw_defaults), *free], "nested_def")
+
+    s_AsyncFunctionDef = s_FunctionDef
+
+    def s_Assign(self, s) -> None:
+        names = [t for x in s.targets for t in targets(x)]
+        const = repr(s.value.value) if isinstance(s.value, ast.Constant) and len(names) == 1 and len(s.targets) == 1 else None
+        more = [b for x in s.targets for b in store_bases(x)]
+        self.op("assign", s, names, [*loads(s.value), *(u for x in s.targets for u in inner_loads(x))], calls_=calls(s.value), const=const, stores=more)
+
+    def s_AnnAssign(self, s) -> None:
+        if s.value is not None:
+            self.op("assign", s, targets(s.target), [*loads(s.value), *inner_loads(s.target)], calls_=calls(s.value), stores=store_bases(s.target))
+
+    def s_AugAssign(self, s) -> None:
+        self.op("assign", s, targets(s.target), [*targets(s.target), *loads(s.value), *inner_loads(s.target)], "aug", calls(s.value), stores=store_bases(s.target))
+
+    def s_Expr(self, s) -> None:
+        kind = "call" if isinstance(s.value, (ast.Call, ast.Await)) else "other"
+        self.op(kind, s, uses=loads(s.value), calls_=calls(s.value))
+
+    def s_Assert(self, s) -> None:
+        self.op("assert", s, uses=loads(s.test, s.msg), calls_=calls(s.test))
+
+    def s_Delete(self, s) -> None:
+        used = [u for t in s.targets for u in (inner_loads(t) if not isinstance(t, ast.Name) else [])]
+        self.op("delete", s, uses=used, stores=[b | {"path": "del"} for t in s.targets for b in store_bases(t)])
+
+    def s_Return(self, s) -> None:
+        self.op("return", s, uses=loads(s.value), calls_=calls(s.value))
+        self.at = None
+
+    def s_Raise(self, s) -> None:
+        self.op("raise", s, uses=[*loads(s.exc), *loads(s.cause)])
+        self.at = None
+
+    def s_Break(self, s) -> None:
+        self.op("branch", s, sub="break")
+        if self.loops:
+            self.edge(self.at, self.loops[-1][1])
+        self.at = None
+
+    def s_Continue(self, s) -> None:
+        self.op("branch", s, sub="continue")
+        if self.loops:
+            self.edge(self.at, self.loops[-1][0])
+        self.at = None
+
+    def arm(self, start: int, statements: list[ast.stmt], after: int) -> None:
+        self.at = start
+        self.body(statements)
+        self.edge(self.at, after)
+
+    def s_If(self, s) -> None:
+        self.op("branch", s, uses=loads(s.test), sub="if", cond=ast.unparse(s.test))
+        head, then = self.at, self.block()
+        self.edge(head, then)
+        other = self.block() if s.orelse else None
+        after = self.block()
+        self.edge(head, after if other is None else other)
+        self.arm(then, s.body, after)
+        if other is not None:
+            self.arm(other, s.orelse, after)
+        self.at = after
+
+    def s_Match(self, s) -> None:
+        self.op("branch", s, uses=loads(s.subject), sub="match")
+        head, after, open_ = self.at, self.block(), True
+        for c in s.cases:
+            start = self.block()
+            self.edge(head, start)
+            names = [n.name for n in ast.walk(c.pattern) if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name]
+            names += [n.rest for n in ast.walk(c.pattern) if isinstance(n, ast.MatchMapping) and n.rest]
+            self.at = start
+            self.op("branch", c.pattern, names, [u for u in loads(c.guard) if u not in names], "case")
+            self.arm(self.at, c.body, after)
+            if isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None and c.guard is None:
+                open_ = False
+        if open_:
+            self.edge(head, after)
+        self.at = after
+
+    def loop(self, s, kind: str) -> None:
+        header = self.block()
+        self.edge(self.at, header)
+        self.at = header
+        test = s.test if kind == "while" else None
+        self.op("branch", s, uses=loads(test), sub=kind, cond=ast.unparse(test) if test is not None else None)
+        inside, after = self.block(), self.block()
+        self.edge(header, inside)
+        other = self.block() if s.orelse else after
+        self.edge(header, other)
+        self.loops.append((header, after))
+        self.at = inside
+        if kind == "for":
+            self.op("assign", s.target, targets(s.target), inner_loads(s.target), "for_iter", stores=store_bases(s.target))
+        self.body(s.body)
+        self.edge(self.at, header)
+        self.loops.pop()
+        if s.orelse:
+            self.arm(other, s.orelse, after)
+        self.at = after
+
+    def s_While(self, s) -> None:
+        if self.at is None:
+            self.at = self.block()
+        self.loop(s, "while")
+
+    def s_For(self, s) -> None:
+        self.op("other", s.iter, uses=loads(s.iter), sub="for_iter_eval")
+        self.loop(s, "for")
+
+    s_AsyncFor = s_For
+
+    def s_With(self, s) -> None:
+        for item in s.items:
+            v = item.optional_vars
+            self.op("enter_with", s, targets(v) if v is not None else [], [*loads(item.context_expr), *(inner_loads(v) if v is not None else [])])
+        inside = self.block()
+        self.edge(self.at, inside)
+        self.at = inside
+        self.body(s.body)
+        if self.at is not None:
+            done = self.block(is_finally=True)
+            self.edge(self.at, done)
+            self.at = done
+            self.op("exit_with", s, synthetic=True)
+
+    s_AsyncWith = s_With
+
+    def s_Try(self, s) -> None:
+        start = self.block()
+        self.edge(self.at, start)
+        self.at = start
+        first = len(self.blocks) - 1
+        self.body(s.body)
+        inside, end = list(range(first, len(self.blocks))), self.at
+        if s.orelse:
+            other = self.block()
+            self.edge(end, other)
+            self.at = other
+            self.body(s.orelse)
+            end = self.at
+        ends, heads = [end], []
+        for h in s.handlers:
+            head = self.block(is_handler=True)
+            heads.append(head)
+            self.at = head
+            kind = ast.unparse(h.type) if h.type is not None else None
+            self.op("enter_except", h, uses=loads(h.type), exc=kind)
+            if h.name:
+                self.op("assign", h, [h.name], sub="except_as")
+            self.body(h.body)
+            ends.append(self.at)
+        last = None
+        if s.finalbody:
+            last = self.block(is_finally=True)
+            self.at = last
+            self.op("enter_finally", s.finalbody[0], synthetic=True)
+            self.body(s.finalbody)
+            if self.at is not None:
+                self.op("exit_finally", None, synthetic=True)
+            tail = self.at
+        for b in inside:
+            for head in heads:
+                self.edge(b, head, "e")
+            if last is not None:
+                self.edge(b, last, "e")
+        if last is not None:
+            for head in heads:
+                self.edge(head, last, "e")
+            for e in ends:
+                self.edge(e, last)
+            ends = [tail]
+        ends = [e for e in ends if e is not None]
+        self.at = None
+        if ends:
+            self.at = self.block()
+            for e in ends:
+                self.edge(e, self.at)
+
+    s_TryStar = s_Try
+
+
+def _finish(f: _Function) -> tuple[list[dict], list[tuple], list[int]]:
+    """Drops empty blocks: those passed through by one edge, and those that nothing enters."""
+    full = {o["block_id"] for o in f.ops}
+    edges = list(f.edges)
+    changed = True
+    alive = {b["block_id"] for b in f.blocks}
+    while changed:
+        changed = False
+        for b in sorted(alive - full - {f.entry}):
+            out, into = [e for e in edges if e[0] == b], [e for e in edges if e[1] == b]
+            if not into or (len(out) == 1 and out[0][2] == "n" and out[0][1] != b):
+                edges = list(dict.fromkeys((e[0], out[0][1], e[2]) if e[1] == b else e for e in edges if e[0] != b)) if into else [e for e in edges if e[0] != b]
+                alive.discard(b)
+                changed = True
+                break
+    ends = {o["block_id"] for o in f.ops if o["kind"] in ("return", "raise")}
+    onward = {e[0] for e in edges if e[2] == "n"}
+    blocks = [b for b in f.blocks if b["block_id"] in alive]
+    lines: dict[int, list[int]] = {}
+    for o in f.ops:
+        if o["line"]:
+            lines.setdefault(o["block_id"], []).append(o["line"])
+    for pos, b in enumerate(blocks):
+        own = lines.get(b["block_id"], [0])
+        b |= {"pos": pos, "line_lo": min(own), "line_hi": max(own)}
+    return blocks, edges, [b["block_id"] for b in blocks if b["block_id"] in ends or b["block_id"] not in onward]
+
+
+def _names(node, kind) -> list[str]:
+    return sorted({x for n in ast.walk(node) if isinstance(n, kind) for x in n.names})
+
+
+def lower_function(node: ast.FunctionDef | ast.AsyncFunctionDef, qualname: str) -> dict:
+    f = _Function(node)
+    a = node.args
+    params = [x.arg for x in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
+    f.op("assign", node, params, sub="args")
+    f.body(node.body)
+    if f.at is not None:
+        f.op("return", None, synthetic=True, sub="implicit")
+    blocks, edges, exits = _finish(f)
+    inner = [n for n in ast.walk(node) if isinstance(n, SCOPES) and n is not node]
+    own = {t for o in f.ops for t in o["targets"] if "." not in t}
+    return {
+        "qualname": qualname, "simple": qualname.rsplit(".", 1)[-1], "first_line": node.lineno, "last_line": node.end_lineno, "entry": f.entry, "exits": exits,
+        "params": params, "locals": sorted(own), "globals": _names(node, ast.Global), "nonlocals": sorted({x for n in inner for x in _names(n, ast.Nonlocal)}),
+        "own_nonlocals": sorted(set(_names(node, ast.Nonlocal))), "blocks": blocks, "edges": [{"src": s, "dst": d, "kind": k, "ord": i} for i, (s, d, k) in enumerate(edges)], "ops": f.ops,
+    }
+
+
+def _module_name(relpath: str) -> str:
+    name = relpath[:-3].replace("/", ".")
+    return name.removesuffix(".__init__")
+
+
+def lower_module(relpath: str, source: str) -> dict:
+    """Facts of one module, or its error: {relpath, error, module_name, imports, classes, functions, ...}."""
+    out = {"relpath": relpath, "error": None, "module_name": _module_name(relpath), "imports": [], "classes": [], "functions": [], "globals": [], "side_effects": []}
+    try:
+        tree = ast.parse(textwrap.dedent(source))
+    except (SyntaxError, ValueError) as e:
+        return out | {"error": f"{type(e).__name__}: {e}"}
+
+    def imports(node: ast.AST, lazy: bool) -> None:
+        for n in [node] if isinstance(node, (ast.Import, ast.ImportFrom)) else ():
+            if isinstance(n, ast.Import):
+                out["imports"] += [{"name": a.asname or a.name.split(".")[0], "target": a.name if a.asname else a.name.split(".")[0], "module": a.name, "lazy": lazy} for a in n.names]
+            else:
+                base = "." * n.level + (n.module or "")
+                out["imports"] += [{"name": a.asname or a.name, "target": f"{base}.{a.name}" if not base.endswith(".") else base + a.name, "module": base, "lazy": lazy} for a in n.names]
+
+    def quiet(s: ast.stmt) -> bool:
+        if isinstance(s, (*SCOPES, ast.ClassDef, ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign, ast.Pass)):
+            return True
+        if isinstance(s, ast.Expr):
+            return isinstance(s.value, ast.Constant)
+        if isinstance(s, ast.If):
+            return any(w in ast.unparse(s.test) for w in ("__name__", "TYPE_CHECKING"))
+        return isinstance(s, ast.Try) and all(isinstance(x, (ast.Import, ast.ImportFrom)) for x in s.body)
+
+    def walk(body: list[ast.stmt], prefix: str, cls: dict | None, lazy: bool) -> None:
+        for s in body:
+            imports(s, lazy)
+            if isinstance(s, SCOPES):
+                name = f"{prefix}{s.name}"
+                if cls is not None:
+                    cls["methods"].append(s.name)
+                out["functions"].append(lower_function(s, name))
+                walk(s.body, name + ".", cls, True)
+            elif isinstance(s, ast.ClassDef):
+                own = {"name": s.name, "bases": [b.split(".")[-1] for b in map(dotted, s.bases) if b], "methods": []}
+                out["classes"].append(own)
+                walk(s.body, f"{prefix}{s.name}.", own, lazy)
+            else:
+                for part in ("body", "orelse", "finalbody"):
+                    walk([x for x in getattr(s, part, []) if isinstance(x, ast.stmt)], prefix, cls, lazy)
+                for h in getattr(s, "handlers", []):
+                    walk(h.body, prefix, cls, lazy)
+                for c in getattr(s, "cases", []):
+                    walk(c.body, prefix, cls, lazy)
+
+    walk(tree.body, "", None, False)
+    for s in tree.body:
+        if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+            out["globals"] += [t for x in getattr(s, "targets", None) or [s.target] for t in targets(x) if "." not in t]
+        if not quiet(s):
+            out["side_effects"].append({"line": s.lineno, "what": ast.unparse(s).split("\n")[0][:80]})
+    for c in out["classes"]:
+        c["methods"] = sorted(set(c["methods"]))
+    return out
