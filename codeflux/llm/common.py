@@ -64,6 +64,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+def bind(use, **values: Column) -> Column:
+    """``use`` of a struct of ``values``, each computed once. An expression named inside a lambda would be computed again
+    for every element."""
+    one = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(one), use), 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, small
+from .common import bind, materialize, maybe_broadcast, small
 
 KINDS = ("email", "ip", "card", "phone")
 # Each shape starts where a run of its characters does or where the last match ended, and never gives back what it took:
@@ -36,25 +36,34 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """start, end, value and the text before of every match: lengths of what lies between matches, summed in blocks."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    return F.transform(found, lambda value, i: F.struct(value.alias("value"), F.element_at(between, i + 1).alias("before")))
+    """value and the text before of every match."""
+    return bind(
+        lambda s: F.transform(s["found"], lambda value, i: F.struct(value.alias("value"), F.element_at(s["between"], i + 1).alias("before"))),
+        found=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        between=F.split(text, pattern, -1),
+    )
 
 
 def _offsets(hits: Column) -> Column:
     """Adds start and end to hits (value, before). Sums run over whole blocks first, so long lists stay cheap."""
-    size = F.transform(hits, lambda h: F.length(h["before"]) + F.length(h["value"]))
     add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(size) - 1) / BLOCK).cast("int")), lambda b: add(F.slice(size, b * BLOCK + 1, BLOCK)))
 
-    def place(h: Column, i: Column) -> Column:
-        b = F.floor(i / BLOCK).cast("int")
-        before = add(F.slice(blocks, 1, b)) + add(F.slice(size, b * BLOCK + 1, i - b * BLOCK)) + F.length(h["before"])
-        return F.struct(before.alias("start"), (before + F.length(h["value"])).alias("end"), h["value"].alias("value"), h["before"].alias("before"))
+    def with_sizes(s: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(s["sizes"]) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: add(F.slice(s["sizes"], b * BLOCK + 1, BLOCK)))
+        return bind(with_blocks, hits=s["hits"], sizes=s["sizes"], blocks=blocks)
+
+    def with_blocks(s: Column) -> Column:
+        def place(h: Column, i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            before = add(F.slice(s["blocks"], 1, b)) + add(F.slice(s["sizes"], b * BLOCK + 1, i - b * BLOCK)) + F.length(h["before"])
+            return F.struct(before.alias("start"), (before + F.length(h["value"])).alias("end"), h["value"].alias("value"), h["before"].alias("before"))
+
+        return F.transform(s["hits"], place)
 
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    return F.when(F.size(hits) > 0, F.transform(hits, place)).otherwise(empty)
+    sizes = F.transform(hits, lambda h: F.length(h["before"]) + F.length(h["value"]))
+    return F.when(F.size(hits) > 0, bind(with_sizes, hits=hits, sizes=sizes)).otherwise(empty)
 
 
 def _valid(kind: str, value: Column) -> Column:
