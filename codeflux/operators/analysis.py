@@ -50,6 +50,7 @@ def analyze_function(f: dict) -> dict:
     rel += [("op_needs", a, b, None) for a, bs in needs.items() for b in sorted(bs)]
     for i, path in enumerate(g.paths(g.entry, g.exits[-1]) if g.exits else []):
         rel.append(("path", i, len(path), ">".join(map(str, path))))
+    rel += [("output_input", None, None, f"{o}<-{i}") for o, i in sorted(_outputs(f, ops, uses, seen, defs, needs))]
     flow = {b: len(g.flow[b]) for b in blocks}
     span: dict[int, int] = {}
     for u in uses:
@@ -76,6 +77,39 @@ def _unread(defs: list[dict], seen: dict[int, list[int]]) -> list[dict]:
     return [d for d in defs if d["id"] not in read and d["op"]["sub"] != "args" and "." not in d["name"] and not d["name"].startswith("_")]
 
 
+def _outputs(f: dict, ops: list[dict], uses: list[dict], seen: dict[int, list[int]], defs: list[dict], needs: dict[int, set[int]]) -> set[tuple[str, str]]:
+    """(output, input): what from outside (parameters, names not set here) goes into what returns, self or a global get."""
+    given: dict[int, set[str]] = {}
+    for u in uses:
+        if not seen[u["id"]] or any(defs[d]["op"]["sub"] == "args" for d in seen[u["id"]]):
+            given.setdefault(u["op"]["op_id"], set()).add(u["name"])
+    out = set()
+    for o in ops:
+        names = ["<return>"] if o["kind"] == "return" and o["uses"] else []
+        names += [t for t in o["targets"] if t.startswith("self.") or t in (f["globals"] or ())]
+        for name in names:
+            out |= {(name, i) for n in K.closure(needs, o["op_id"]) for i in given.get(n, ())}
+    return out
+
+
+def verify_refactor(old: DataFrame, new: DataFrame) -> DataFrame:
+    """fq, change ('lost' or 'gained'), flow: inputs of outputs that only one of two analyses has."""
+    sides = [relation(a, "output_input").select("fq", F.col("name").alias("flow")) for a in (old, new)]
+    lost, gained = sides[0].exceptAll(sides[1]), sides[1].exceptAll(sides[0])
+    return lost.withColumn("change", F.lit("lost")).unionByName(gained.withColumn("change", F.lit("gained"))).select("fq", "change", "flow")
+
+
+def structural_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """fq and old and new values of the metrics of functions that changed, came or went."""
+    keys = ["blocks", "branches", "exits", "cyclomatic", "max_nesting", "depdegree"]
+    sides = [metrics(a).select("fq", *[F.col(k).alias(f"{p}_{k}") for k in keys]) for a, p in ((old, "old"), (new, "new"))]
+    both = sides[0].join(sides[1], "fq", "full_outer")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"old_{k}").eqNullSafe(F.col(f"new_{k}"))
+    return both.where(~same)
+
+
 def analyze(fns: DataFrame) -> DataFrame:
     """fq, relations, metrics and findings of every function row."""
     import pyarrow as pa
