@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -148,119 +147,111 @@ def _cut(length: int):
     return run
 
 
-def _trie(suffixes: list[int], symbols: np.ndarray, depth: int, end: int) -> list[list[int]]:
-    """Orders suffixes that agree on ``depth`` bytes by a blind trie; returns the leaves, each of equal suffixes.
+def _trie(suffixes: list[tuple[int, bytes]], depth: int) -> list[list[int]]:
+    """Orders (number, text) that agree on ``depth`` bytes by a blind trie; returns its leaves: numbers of equal texts.
 
-    An inner node is [symbol number, {symbol: child}]; a search looks at those symbols alone, then compares with the leaf
-    it meets and branches off where the two first differ."""
-
-    def text(p: int) -> bytes:
-        return symbols[p:end_of(p):8].tobytes()
-
-    def end_of(p: int) -> int:
-        return p + end
-
-    root: list = [suffixes[0]]
-    texts = {suffixes[0]: text(suffixes[0])}
-    leaves = [root]
-    top = root
-    for p in suffixes[1:]:
-        mine = text(p)
+    An inner node is (symbol number, {symbol: child}), a leaf [text, numbers]. A search looks at the nodes' symbols alone,
+    compares with the one leaf it meets, and branches off where the two first differ."""
+    top: tuple | list = [suffixes[0][1], [suffixes[0][0]]]
+    leaves = [top]
+    for number, mine in suffixes[1:]:
         node = top
-        while len(node) == 2 and isinstance(node[1], dict):
-            at = node[0] * 8
-            node = node[1].get(mine[at : at + 8]) or next(iter(node[1].values()))
-        other = texts[node[0]]
+        while type(node) is tuple:
+            at, children = node
+            node = children.get(mine[at : at + 8])
+            if node is None:
+                node = next(iter(children.values()))
+        other = node[0]
         if mine == other:
-            node.append(p) if len(node) != 1 else node.append(p)
+            node[1].append(number)
             continue
-        texts[p] = mine
-        lo, hi = depth // 8, len(mine) // 8
-        while lo + 1 < hi:
-            mid = (lo + hi) // 2
-            if mine[: mid * 8] == other[: mid * 8]:
-                lo = mid
+        low, high = depth, len(mine)
+        while high - low > 8:
+            middle = low + (high - low) // 16 * 8
+            if mine[low:middle] == other[low:middle]:
+                low = middle
             else:
-                hi = mid
-        k = lo
-        leaf = [p]
+                high = middle
+        leaf = [mine, [number]]
         leaves.append(leaf)
-        node = top
-        parent = None
-        while len(node) == 2 and isinstance(node[1], dict) and node[0] < k:
-            parent, step = node, mine[node[0] * 8 : node[0] * 8 + 8]
+        node, parent, step = top, None, b""
+        while type(node) is tuple and node[0] < low:
+            parent, step = node, mine[node[0] : node[0] + 8]
             node = node[1][step]
-        if len(node) == 2 and isinstance(node[1], dict) and node[0] == k:
-            node[1][mine[k * 8 : k * 8 + 8]] = leaf
+        if type(node) is tuple and node[0] == low:
+            node[1][mine[low : low + 8]] = leaf
         else:
-            new = [k, {other[k * 8 : k * 8 + 8]: node, mine[k * 8 : k * 8 + 8]: leaf}]
+            new = (low, {other[low : low + 8]: node, mine[low : low + 8]: leaf})
             if parent is None:
                 top = new
             else:
                 parent[1][step] = new
-    return leaves
+    return [numbers for _, numbers in leaves]
 
 
-def repeated(data: bytes, starts: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Which of the windows at ``starts`` occur at another of them too. ``data`` holds ``length`` bytes from each."""
-    padded = np.frombuffer(data + bytes(8 + -length % 8), np.uint8)
-    symbols = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel()
+def repeated(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
+    """Which windows at ``starts`` occur at another of them in their group too. ``group`` ascends; ``data`` holds
+    ``length`` bytes from each start."""
+    symbols = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), np.uint8), 8)
     twice = np.zeros(len(starts), bool)
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(0, min(shallow, length // 8 * 8), 8):
-        symbol = symbols[starts[order] + depth].astype(U)
+    order = np.arange(len(starts))
+    shallow = min(shallow, length // 8 * 8)
+    for depth in range(0, shallow, 8):
+        symbol = symbols[starts[order] + depth].copy().view(">u8").ravel().astype(U)
         by = np.lexsort((symbol, group))
         order, group, symbol = order[by], group[by], symbol[by]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])])
-        group = np.cumsum(new) - 1
+        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])])) - 1
         together = np.bincount(group)[group] > 1
         order, group = order[together], group[together]
         if not len(order):
             return twice
-    tail = length % 8
-    if tail:
-        symbols = symbols.copy()
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    last = (length // 8) * 8
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        here = order[a:b]
-        place = {}
-        for i in here.tolist():
-            place.setdefault(int(starts[i]), []).append(i)
-        for leaf in _trie(list(place), symbols, min(shallow, last), last):
-            if not tail:
-                same = {b"": leaf}
-            else:
-                same = {}
-                for p in leaf:
-                    same.setdefault(data[p + last : p + length], []).append(p)
-            for some in same.values():
-                if len(some) > 1:
-                    for p in some:
-                        twice[place[p]] = True
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+    numbers, places = order.tolist(), starts[order].tolist()
+    found = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        for leaf in _trie([(i, data[p : p + length]) for i, p in zip(numbers[a:b], places[a:b])], shallow):
+            if len(leaf) > 1:
+                found += leaf
+    twice[found] = True
     return twice
 
 
 SPANS = "node bigint, low int, high int"
+#: Bytes of contexts that a task sorts at once; a larger group is one such lot by itself.
+LOT = 4 << 20
 
 
-def _sort_group(length: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes_ = frame["bytes"].map(len).to_numpy()
-        begin = np.concatenate([[0], np.cumsum(sizes_)])
-        windows = sizes_ - length + 1
-        which = np.repeat(np.arange(len(frame)), windows)
+def _sort_groups(length: int):
+    """Over rows in order of (gram, part): spans of the repeated windows of contexts that are there once."""
+
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        _, _, nodes, once, low, cut = (list(c) for c in zip(*rows))
+        keys = [r[:2] for r in rows]
+        lengths = np.array([len(x) for x in cut])
+        begin = np.cumsum(lengths) - lengths
+        windows = lengths - length + 1
+        which = np.repeat(np.arange(len(rows)), windows)
         local = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        twice = repeated(b"".join(frame["bytes"]), begin[which] + local, length)
-        twice &= frame["once"].to_numpy()[which]
-        at = np.flatnonzero(twice)
-        if not len(at):
-            return pd.DataFrame({"node": [], "low": [], "high": []}).astype({"node": "int64", "low": "int32", "high": "int32"})
-        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which[at]) != 0)])
-        first = at[new]
-        last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-        low = frame["low"].to_numpy()
-        return pd.DataFrame({"node": frame["node"].to_numpy()[which[first]], "low": (low[which[first]] + local[first]).astype(np.int32), "high": (low[which[last]] + local[last] + length).astype(np.int32)})
+        group = np.cumsum([0, *(x != y for x, y in zip(keys[1:], keys[:-1]))])
+        twice = repeated(b"".join(cut), begin[which] + local, group[which], length)
+        at = np.flatnonzero(twice & np.array(once)[which])
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which[at]) != 0)]) if len(at) else np.zeros(0, bool)
+        first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+        low = np.array(low)
+        out = [np.array(nodes, np.int64)[which[first]], (low[which[first]] + local[first]).astype(np.int32), (low[which[last]] + local[last] + length).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["node", "low", "high"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "part", "node", "once", "low", "bytes"))):
+                if size >= LOT and row[:2] != held[-1][:2]:
+                    yield spans(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        if held:
+            yield spans(held)
 
     return run
 
@@ -313,7 +304,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_node = materialize(spots.groupBy("node").agg(F.collect_list(F.struct("gram", "node", "once", "low", "windows", "off", "parts")).alias("spots")))
     chosen = texts.join(maybe_broadcast(by_node.select("node")), "node", "left_semi")
     cut = chosen.join(by_node, "node").select("text", "spots").mapInArrow(_cut(length), CUT)
-    partly = cut.groupBy("gram", "part").applyInPandas(_sort_group(length), SPANS)
+    lots = cut.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    partly = lots.select("gram", "part", "node", "once", "low", "bytes").mapInArrow(_sort_groups(length), SPANS)
 
     ranges = materialize(wholly.unionByName(partly)).groupBy("node").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = materialize(ranges)
