@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, materialize, maybe_broadcast, small
+from .common import BROADCAST_ROWS, ascii_lower, bind, materialize, maybe_broadcast, small
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 8
@@ -104,8 +104,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, fewest_item
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col("o.text"), F.lit(f"{word}++{gap}*+"), F.lit(0))
     head = F.regexp_extract("o.text", f"^{gap}*+", 0)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("h.hits"))
-    cut = F.concat(head, F.array_join(F.transform(kept, lambda i: F.element_at(pieces, i + 1)), ""))
+
+    def rest(s: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(s["pieces"]) - 1), F.col("h.hits"))
+        return F.array_join(F.transform(kept, lambda i: F.element_at(s["pieces"], i + 1)), "")
+
+    cut = F.concat(head, bind(rest, pieces=pieces))
     text = F.when(F.col("h.hits").isNull(), F.col("o.text")).otherwise(cut)
     new = {"text": text}
     if "n_chars" in docs.columns:
