@@ -101,7 +101,9 @@ ud as (select u.fq, u.op_id as a, max(d.op_id) as b, u.use as name from op u joi
 def supply_calls(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
     """Call sites (caller, callee, k, via_arg, soft, seq): from a line's supplier to the next line's in the same order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0)
+    rows = table(spark, sf_dir, "lineitem")
+    if every > 1:
+        rows = rows.where(F.col("l_orderkey") % every == 0)
     rows = rows.withColumn("callee", F.lead("l_suppkey").over(order)).where("callee is not null")
     return rows.select(
         F.col("l_suppkey").alias("caller"), "callee", F.col("l_linenumber").alias("k"), (F.col("l_returnflag") == "R").alias("via_arg"), (F.col("l_returnflag") == "N").alias("soft")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def whole(name: str, run, *changes: tuple[str, str]) -> None:
+    """Registers ``run`` as NAME_whole: the query NAME over all rows. Its SQL is that of NAME with ``changes``."""
+    sql = ORACLES[name]
+    for old, new in changes:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    query(f"{name}_whole", sql)(run)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.analyze(A.event_functions(spark, sf_dir))
 
@@ -203,8 +214,8 @@ def _calls(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
 
 
 @query("call_edges", f"{C} select * from call")
-def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir)
+def call_edges(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
+    return _calls(spark, sf_dir, every)
 
 
 @query(
@@ -212,26 +223,26 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{C}, w as (select callee as fq, 1 as i, 0 as o from call union all select caller, 0, 1 from call)
 select fq, cast(sum(i) as bigint) as fan_in, cast(sum(o) as bigint) as fan_out from w group by fq order by fan_in desc, fan_out desc, fq limit 10""",
 )
-def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.hubs(_calls(spark, sf_dir))
+def hubs(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
+    return program.hubs(_calls(spark, sf_dir, every))
 
 
 @query("entrypoints", f"{C} select distinct caller as fq from call where caller not in (select callee from call)")
-def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.entrypoints(_calls(spark, sf_dir))
+def entrypoints(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
+    return program.entrypoints(_calls(spark, sf_dir, every))
 
 
 @query("leaves", f"{C} select distinct callee as fq from call where callee not in (select caller from call)")
-def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.leaves(_calls(spark, sf_dir))
+def leaves(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
+    return program.leaves(_calls(spark, sf_dir, every))
 
 
 TC = "tc as (select caller as a, callee as b from call union select tc.a, call.callee from tc join call on call.caller = tc.b)"
 
 
 @query("call_cycles", f"{CR}, {TC} select x.a as fq, min(x.b) as scc from tc x join tc y on x.a = y.b and x.b = y.a group by x.a having count(distinct x.b) > 1")
-def call_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.cycles(_calls(spark, sf_dir, 397))
+def call_cycles(spark: SparkSession, sf_dir: str, every: int = 397) -> DataFrame:
+    return program.cycles(_calls(spark, sf_dir, every))
 
 
 @query("call_closure", f"{CR}, {TC} select a as src, b as dst from tc")
@@ -245,8 +256,8 @@ def call_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 l as (select fq, 0 as depth from root union select call.callee, l.depth + 1 from l join call on call.caller = l.fq where l.depth < 60)
 select fq, cast(min(depth) as integer) as depth from l group by fq""",
 )
-def call_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixpoint.cut(_calls(spark, sf_dir, 397))
+def call_layers(spark: SparkSession, sf_dir: str, every: int = 397) -> DataFrame:
+    edges = fixpoint.cut(_calls(spark, sf_dir, every))
     return program.layers(edges, program.entrypoints(edges))
 
 
@@ -258,9 +269,9 @@ down as (select fq as focus, fq, 0 as depth from focus union select down.focus,
 select focus, 'up' as direction, fq, cast(min(depth) as integer) as depth from up group by focus, fq having min(depth) > 0
 union all select focus, 'down', fq, cast(min(depth) as integer) from down group by focus, fq having min(depth) > 0""",
 )
-def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixpoint.cut(_calls(spark, sf_dir, 397))
-    return program.impact(edges, edges.where("callee % 10 = 0").select(F.col("callee").alias("fq")).distinct())
+def impact_closure(spark: SparkSession, sf_dir: str, every: int = 397, focus: str = "callee % 10 = 0") -> DataFrame:
+    edges = fixpoint.cut(_calls(spark, sf_dir, every))
+    return program.impact(edges, edges.where(focus).select(F.col("callee").alias("fq")).distinct())
 
 
 EXC = ["KeyError", "ValueError", "OSError"]
@@ -274,8 +285,8 @@ esc as (select fq, exc from loc union select s.caller, e.exc from esc e join sto
         where not (s.caught = e.exc or (s.caught = 'LookupError' and e.exc = 'KeyError')))
 select fq, exc from esc""",
 )
-def exception_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixpoint.cut(_calls(spark, sf_dir, 397))
+def exception_escape(spark: SparkSession, sf_dir: str, every: int = 397) -> DataFrame:
+    edges = fixpoint.cut(_calls(spark, sf_dir, every))
     kind = lambda c, names: F.element_at(F.array(*[F.lit(n) for n in names]), (c % 3 + 1).cast("int"))
     local = edges.where("caller % 4 = 0").select(F.col("caller").alias("fq"), kind(F.col("caller"), EXC).alias("exc"))
     sharp = edges.where("soft = 0").select(F.col("caller").alias("fq"), "callee", F.array(kind(F.col("k"), ["LookupError", "ValueError", "none"])).alias("caught"))
@@ -327,11 +338,20 @@ def structural_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{CR}, dag as (select distinct caller as s, callee as d from call where caller < callee), l as (select node, 0 as layer from (select s as node from dag union select d from dag)
 union select dag.s, l.layer + 1 from l join dag on dag.d = l.node) select node, cast(max(layer) as integer) as layer from l group by node""",
 )
-def import_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _calls(spark, sf_dir, 397).where("caller < callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+def import_layers(spark: SparkSession, sf_dir: str, every: int = 397) -> DataFrame:
+    edges = _calls(spark, sf_dir, every).where("caller < callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
     return program.import_layers(fixpoint.cut(edges))
 
 
+# The call graph of all line items. The queries above read what their SQL reads: every 97th or 397th order.
+for _name, _run in (("call_edges", call_edges), ("hubs", hubs), ("entrypoints", entrypoints), ("leaves", leaves)):
+    whole(_name, partial(_run, every=1), (A.calls_sql(), A.calls_sql(1)))
+for _name, _run in (("call_cycles", call_cycles), ("call_layers", call_layers), ("exception_escape", exception_escape), ("import_layers", import_layers)):
+    whole(_name, partial(_run, every=1), (A.calls_sql(397), A.calls_sql(1)))
+whole("impact_closure", partial(impact_closure, every=1, focus="true"), (A.calls_sql(397), A.calls_sql(1)), (" where callee % 10 = 0", ""))
+whole("call_closure", lambda spark, sf_dir: fixpoint.closure_by_components(program.as_edges(_calls(spark, sf_dir, 1))), (A.calls_sql(397), A.calls_sql(1)))
+
+
 @query(
     "class_forest",
     """select 'n.py:' || n_name as child, 'n.py:' || r_name as parent, true as inside from nation join region on n_regionkey = r_regionkey
