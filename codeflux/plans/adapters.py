@@ -32,11 +32,13 @@ def _function(rows: DataFrame, entry: Column, exits: Column, blocks: Column, edg
     return rows.withColumn("locals", F.array_distinct(F.flatten(F.transform("ops", lambda o: o["targets"]))))
 
 
-def event_functions(spark: SparkSession, sf_dir: str, first: int = 6) -> DataFrame:
+def event_functions(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
     """A function per user: blocks are event types, edges consecutive events, an operation per event."""
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     kind = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")).cast("int") - 1
-    events = table(spark, sf_dir, "events").withColumn("p", order).where(F.col("p") <= first)
+    events = table(spark, sf_dir, "events").withColumn("p", order)
+    if first is not None:
+        events = events.where(F.col("p") <= first)
     one = F.struct("p", kind.alias("b"), "event_id")
     rows = events.groupBy(F.col("user_id").cast("string").alias("fq")).agg(F.array_sort(F.collect_list(one)).alias("s"))
     ids = F.array_distinct(F.transform("s", lambda x: x["b"]))

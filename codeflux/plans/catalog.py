@@ -35,8 +35,8 @@ def whole(name: str, run, *changes: tuple[str, str]) -> None:
     query(f"{name}_whole", sql)(run)
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.analyze(A.event_functions(spark, sf_dir))
+def _events(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
+    return analysis.analyze(A.event_functions(spark, sf_dir, first))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +47,19 @@ E, D, P = f"with recursive {A.EVENTS_SQL}", A.DOM_SQL, A.PDOM_SQL
 DP = f"{E}, {D}, {P}"
 
 
+#: The queries over event functions read a user's first six events, as their SQL does; NAME_whole reads every event.
+EVERY_EVENT = (" where p <= 6", "")
+
 # graph relations over event functions ---------------------------------------------------------------------------------
 
 
 def _relation(name: str, rel: str, sql: str, a: str, b: str | None = None, text: str | None = None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
         columns = [F.col("a").alias(a)] + ([F.col("b").alias(b)] if b else []) + ([F.col("name").alias(text)] if text else [])
-        return analysis.relation(_events(spark, sf_dir), rel).select("fq", *columns)
+        return analysis.relation(_events(spark, sf_dir, first), rel).select("fq", *columns)
 
     query(name, sql)(run)
+    whole(name, partial(run, first=None), EVERY_EVENT)
 
 
 _relation("dominators", "dom", f"{E}, {D} select fq, b as block, d as dominator from dom", "block", "dominator")
@@ -112,8 +116,8 @@ where w.b <> f.b and not list_contains(w.path, g.dst) and len(w.path) <= 8)
 select w.fq, cast(len(w.path) as integer) as steps, array_to_string(w.path, '>') as path from walk w join final f on f.fq = w.fq and f.b = w.b
 where len(w.path) > 1 or w.fq in (select e.fq from entry e join final f2 on f2.fq = e.fq and f2.b = e.b)""",
 )
-def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analysis.relation(_events(spark, sf_dir), "path")
+def simple_paths(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
+    found = analysis.relation(_events(spark, sf_dir, first), "path")
     return found.select("fq", F.col("b").alias("steps"), F.col("name").alias("path"))
 
 
@@ -123,8 +127,12 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 from block k left join (select fq, src, count(*) as n_out from edge group by fq, src) o on o.fq = k.fq and o.src = k.b
 join (select fq, count(*) as n from edge group by fq) t on t.fq = k.fq group by k.fq""",
 )
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.metrics(_events(spark, sf_dir)).select("fq", "blocks", "control_edges", "cyclomatic")
+def metrics(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
+    return analysis.metrics(_events(spark, sf_dir, first)).select("fq", "blocks", "control_edges", "cyclomatic")
+
+
+whole("simple_paths", partial(simple_paths, first=None), EVERY_EVENT)
+whole("metrics", partial(metrics, first=None), EVERY_EVENT)
 
 
 # data flow over order functions ---------------------------------------------------------------------------------------

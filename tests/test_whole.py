@@ -49,3 +49,18 @@ def test_closure_by_components_matches_closure(spark):
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (4, 5), (6, 4), (7, 8), (8, 7)], "src long, dst long")
     assert sorted(fixpoint.closure_by_components(edges).collect()) == sorted(fixpoint.closure(edges).collect())
+
+
+EVENTS = ["dominators", "post_dominators", "immediate_post_dominators", "control_dependence", "block_preds", "reachable_blocks", "loop_headers", "spine", "reaching_defs_cfg", "liveness", "definite_assignment", "simple_paths", "metrics"]
+
+
+@pytest.mark.parametrize("name", EVENTS)
+def test_events_match_sql(spark, sql, name):
+    same(spark, sql, f"{name}_whole")
+
+
+def test_every_event_is_an_operation(spark):
+    from codeflux.plans import adapters
+
+    fns = adapters.event_functions(spark, SF, None).selectExpr("size(ops) as n").collect()
+    assert sum(r.n for r in fns) == spark.read.parquet(f"{SF}/events.parquet").count() and max(r.n for r in fns) > 6
