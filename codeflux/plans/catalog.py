@@ -385,8 +385,8 @@ SRC = """line as (select l_orderkey, 'c' || o_custkey || '.py:f' || l_orderkey a
 select fq, cast(1 + 2 * r as integer) as blocks, cast(3 * r as integer) as control_edges, cast(r as integer) as branches, cast(1 + r as integer) as cyclomatic,
        cast(r as integer) as cognitive, cast(case when r > 0 then 1 else 0 end as integer) as max_nesting, cast(7 + r + a as integer) as defs from m""",
 )
-def lowered_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fns = facts.functions(facts.lower(A.order_source(spark, sf_dir))).where("simple like 'f%'")
+def lowered_metrics(spark: SparkSession, sf_dir: str, every: int = 10, of: str = "simple like 'f%'") -> DataFrame:
+    fns = facts.functions(facts.lower(A.order_source(spark, sf_dir, every))).where(of)
     return analysis.metrics(analysis.analyze(fns)).select("fq", "blocks", "control_edges", "branches", "cyclomatic", "cognitive", "max_nesting", "defs")
 
 
@@ -394,14 +394,20 @@ def lowered_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lowered_call_graph",
     f"with {SRC} select distinct fq as caller, split_part(fq, ':', 1) || ':g' || (l_suppkey % 9) as callee from line where flag not in ('R', 'A')",
 )
-def lowered_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modules = fixpoint.cut(facts.lower(A.order_source(spark, sf_dir)))
+def lowered_call_graph(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    modules = fixpoint.cut(facts.lower(A.order_source(spark, sf_dir, every)))
     resolved = program.resolve_calls(modules, fixpoint.cut(facts.functions(modules)))
     return program.call_graph(program.sites_of(resolved)).select("caller", "callee")
 
 
 @query("lowered_findings")
 def lowered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fns = facts.functions(facts.lower(A.order_source(spark, sf_dir)))
+    fns = facts.functions(facts.lower(A.order_source(spark, sf_dir, 1)))
     return analysis.findings(analysis.analyze(fns)).select("fq", "pass_name", "kind", "line", "soundness", "modality", "title")
 
+
+# Modules of all customers, and all functions of them; the two queries with SQL read a tenth of the customers, as it does.
+EVERY_CUSTOMER = (" where o_custkey % 10 = 0", "")
+HELPERS = "\nunion all select distinct split_part(fq, ':', 1) || ':g' || i, 1, 0, 0, 1, 0, 0, 1 from m, range(9) h(i)"
+whole("lowered_metrics", partial(lowered_metrics, every=1, of="true"), EVERY_CUSTOMER, (" from m", " from m" + HELPERS))
+whole("lowered_call_graph", partial(lowered_call_graph, every=1), EVERY_CUSTOMER)

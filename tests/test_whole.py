@@ -64,3 +64,16 @@ def test_every_event_is_an_operation(spark):
 
     fns = adapters.event_functions(spark, SF, None).selectExpr("size(ops) as n").collect()
     assert sum(r.n for r in fns) == spark.read.parquet(f"{SF}/events.parquet").count() and max(r.n for r in fns) > 6
+
+
+@pytest.mark.parametrize("name", ["lowered_metrics", "lowered_call_graph"])
+def test_lowered_matches_sql(spark, sql, name):
+    same(spark, sql, f"{name}_whole")
+
+
+def test_findings_of_every_customer(spark, sql):
+    found = __spark_entry__.queries()["lowered_findings"](spark, SF).select("fq").distinct().collect()
+    # a store to a name that the rest of the function does not read: there are some in nearly all modules
+    modules = {r.fq.split(":")[0] for r in found}
+    customers = sql.execute("select count(distinct o_custkey) from orders join lineitem on l_orderkey = o_orderkey where l_returnflag in ('R', 'A')").fetchone()[0]
+    assert len(modules) > customers // 2
