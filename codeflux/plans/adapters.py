@@ -120,9 +120,11 @@ call as (select caller, callee, min(k) as k, max(cast(via_arg as integer)) as vi
 """
 
 
-def state_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state_access(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
     """(cell, fq, mode): line items as reads and writes of shared state."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    rows = table(spark, sf_dir, "lineitem")
+    if every > 1:
+        rows = rows.where(f"l_orderkey % {every} = 0")
     mode = F.when(F.col("l_returnflag") == "R", "w").otherwise("r")
     return rows.select((F.col("l_partkey") % 200).alias("cell"), (F.col("l_suppkey") % 20).alias("fq"), mode.alias("mode"))
 

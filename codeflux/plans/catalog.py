@@ -312,8 +312,11 @@ c as (select cell, count(*) filter (mode = 'w') as w, count(*) filter (mode = 'r
 select cell, cast(w as integer) as writers, cast(r as integer) as readers,
        concat_ws(',', case when w >= 2 and outside > 0 then 'shared-mutable-channel' end, case when w >= 3 then 'many-writers' end, case when r >= 6 then 'widely-read' end) as flags from c""",
 )
-def state_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.state_cells(A.state_access(spark, sf_dir))
+def state_cells(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    return program.state_cells(A.state_access(spark, sf_dir, every))
+
+
+whole("state_cells", partial(state_cells, every=1), (" where l_orderkey % 50 = 0", ""))
 
 
 @query(
@@ -323,12 +326,15 @@ line as (select distinct c_custkey % 50 as f, c_custkey as line from customer wh
 select cast(f as varchar) as relpath, line, fq from (select l.f, l.line, s.fq, row_number() over (partition by l.f, l.line order by s.hi - s.lo, s.fq) as r
 from line l join span s on s.f = l.f and l.line between s.lo and s.hi) where r = 1""",
 )
-def function_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def function_at_line(spark: SparkSession, sf_dir: str, of: str = "c_custkey < 900") -> DataFrame:
     spans = A.table(spark, sf_dir, "orders").selectExpr("cast(o_custkey % 50 as string) as relpath", "o_orderkey as fq", "o_orderkey % 900 as lo", "o_orderkey % 900 + o_custkey % 90 as hi")
-    lines = A.table(spark, sf_dir, "customer").where("c_custkey < 900").selectExpr("cast(c_custkey % 50 as string) as relpath", "c_custkey as line").distinct()
+    lines = A.table(spark, sf_dir, "customer").where(of).selectExpr("cast(c_custkey % 50 as string) as relpath", "c_custkey as line").distinct()
     return program.functions_at(spans, lines)
 
 
+whole("function_at_line", partial(function_at_line, of="true"), (" where c_custkey < 900", ""))
+
+
 @query(
     "structural_deltas",
     """with a as (select o_custkey as fq, count(*) as n from orders where o_orderkey % 3 <> 0 group by o_custkey), b as (select o_custkey as fq, count(*) as n from orders where o_orderkey % 3 <> 1 group by o_custkey)

@@ -77,3 +77,26 @@ def test_findings_of_every_customer(spark, sql):
     modules = {r.fq.split(":")[0] for r in found}
     customers = sql.execute("select count(distinct o_custkey) from orders join lineitem on l_orderkey = o_orderkey where l_returnflag in ('R', 'A')").fetchone()[0]
     assert len(modules) > customers // 2
+
+
+@pytest.mark.parametrize("name", ["state_cells", "function_at_line"])
+def test_state_and_lines_match_sql(spark, sql, name):
+    same(spark, sql, f"{name}_whole")
+
+
+def test_every_line_item_is_an_access(spark):
+    from codeflux.plans import adapters
+
+    assert adapters.state_access(spark, SF, 1).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_lines_beyond_the_first_900(spark, tmp_path):
+    spark.createDataFrame([(1000, 950), (1001, 50)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(100,), (950,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = __spark_entry__.queries()["function_at_line_whole"](spark, str(tmp_path)).collect()
+    # spans are 100..150 and 101..151 of file 0: only line 100 is in one
+    assert [(r.relpath, r.line, r.fq) for r in got] == [("0", 100, 1000)]
+    spark.createDataFrame([(899 + 900, 89)], "o_orderkey long, o_custkey long").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(939,), (989,)], "c_custkey long").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+    got = __spark_entry__.queries()["function_at_line_whole"](spark, str(tmp_path)).collect()
+    assert [(r.relpath, r.line, r.fq) for r in got] == [("39", 939, 1799)]
