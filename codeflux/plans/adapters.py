@@ -129,11 +129,13 @@ def state_access(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame
     return rows.select((F.col("l_partkey") % 200).alias("cell"), (F.col("l_suppkey") % 20).alias("fq"), mode.alias("mode"))
 
 
-def order_source(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    """(relpath, src): a module per customer, a Python function per order, a statement or two per line item."""
+def order_source(spark: SparkSession, sf_dir: str, every: int = 10, of: str | None = None) -> DataFrame:
+    """(relpath, src): a module per customer, a Python function per order, a statement or two per line item (those that ``of`` holds for)."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if every > 1:
         items = items.where(f"o_custkey % {every} = 0")
+    if of is not None:
+        items = items.where(of)
     text = F.when(F.col("l_returnflag") == "R", F.format_string("    if v%d:\n        v%d = 1", F.col("l_partkey") % 7, F.col("l_suppkey") % 7))
     text = text.when(F.col("l_returnflag") == "A", F.format_string("    v%d = v%d + 1", F.col("l_partkey") % 7, F.col("l_suppkey") % 7))
     text = text.otherwise(F.format_string("    g%d(v%d)", F.col("l_suppkey") % 9, F.col("l_partkey") % 7))

@@ -417,3 +417,14 @@ EVERY_CUSTOMER = (" where o_custkey % 10 = 0", "")
 HELPERS = "\nunion all select distinct split_part(fq, ':', 1) || ':g' || i, 1, 0, 0, 1, 0, 0, 1 from m, range(9) h(i)"
 whole("lowered_metrics", partial(lowered_metrics, every=1, of="true"), EVERY_CUSTOMER, (" from m", " from m" + HELPERS))
 whole("lowered_call_graph", partial(lowered_call_graph, every=1), EVERY_CUSTOMER)
+
+
+#: The old program of ``structural_deltas_whole`` is made of the line items shipped before this day, the new one of all.
+OLD_UNTIL = "1997-01-01"
+
+
+@query("structural_deltas_whole")
+def structural_deltas_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose metrics differ between two states of the program, with ``analysis.structural_deltas``."""
+    sides = [A.order_source(spark, sf_dir, 1, of) for of in (f"l_shipdate < date '{OLD_UNTIL}'", None)]
+    return analysis.structural_deltas(*[analysis.analyze(facts.functions(facts.lower(s))) for s in sides])

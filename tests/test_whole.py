@@ -100,3 +100,22 @@ def test_lines_beyond_the_first_900(spark, tmp_path):
     spark.createDataFrame([(939,), (989,)], "c_custkey long").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
     got = __spark_entry__.queries()["function_at_line_whole"](spark, str(tmp_path)).collect()
     assert [(r.relpath, r.line, r.fq) for r in got] == [("39", 939, 1799)]
+
+
+def test_structural_deltas_of_all_metrics(spark, sql):
+    rows = {r.fq: r for r in __spark_entry__.queries()["structural_deltas_whole"](spark, SF).collect()}
+    keys = ["blocks", "branches", "exits", "cyclomatic", "max_nesting", "depdegree"]
+    assert set(next(iter(rows.values())).asDict()) == {"fq", *[f"{side}_{k}" for side in ("old", "new") for k in keys]}
+    # the SQL's closed formula: an R line is an if with an assignment
+    branches = sql.execute("""select 'c' || o_custkey || '.py:f' || o_orderkey, count(*) filter (l_returnflag = 'R' and l_shipdate < date '1997-01-01'),
+        count(*) filter (l_returnflag = 'R'), count(*) filter (l_shipdate < date '1997-01-01'), count(*) from orders join lineitem on l_orderkey = o_orderkey group by all""").fetchall()
+    for fq, old, new, n_old, n_new in branches:
+        if n_old == n_new:
+            assert fq not in rows
+        elif not n_old:
+            assert rows[fq].old_blocks is None and rows[fq].new_branches == new
+        elif old != new:
+            r = rows[fq]
+            assert (r.old_branches, r.new_branches, r.old_blocks, r.new_blocks, r.old_cyclomatic, r.new_cyclomatic) == (old, new, 1 + 2 * old, 1 + 2 * new, 1 + old, 1 + new)
+            assert (r.old_max_nesting, r.new_max_nesting) == (min(old, 1), min(new, 1))
+    assert any(0 < o[3] < o[4] and o[1] != o[2] for o in branches)
