@@ -150,3 +150,27 @@ def test_digest_of_nothing(docs):
     got = pii.find(docs(["", None])).select(F.sha2(pii.digest(F.col("spans")), 256).alias("d")).collect()
     assert {r.d for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert pii.find(docs(["a"]).limit(0)).count() == 0
+
+
+def _spans(docs, texts):
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.find(docs(texts)).collect()}
+
+
+def test_spans_take_in_groups_of_digits(docs, prose):
+    texts = [f"{prose(5)} call me at +4930123456{i} {prose(4)}" for i in range(10, 30)]
+    texts += ["please call me at 030 1234 5678, 12 of us wait", "call me at DE44 5001 0517 5407 3249 31 today", "call me at 030. 12 wait"]
+    got = _spans(docs, texts)
+    assert got[20] == ["030 1234 5678"] and got[21] == ["DE44 5001 0517 5407 3249 31"] and got[22] == ["030"]
+
+
+def test_contexts_hold_other_tokens(docs, prose):
+    texts = [f"Room 12, fax +4930123456{i} {prose(4)}" for i in range(10, 30)] + ["Room 12, fax 5551234 or so"]
+    assert "5551234" in _spans(docs, texts)[20]
+
+
+def test_found_instances_bring_up_other_contexts(docs, prose):
+    texts = [f"{prose(5)} write to user{i}@mail.example.org {prose(4)}" for i in range(20)]
+    handles = [f"box{i}@localhost" for i in range(10)]
+    texts += [f"{prose(5)} write to {h} {prose(4)}" for h in handles] + [f"{prose(5)} signed by {h} {prose(4)}" for h in handles]
+    texts += [f"{prose(5)} signed by guest7@localhost"]
+    assert _spans(docs, texts)[len(texts) - 1] == ["guest7@localhost"]
