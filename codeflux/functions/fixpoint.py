@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="codeflux-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = os.path.join(base, "codeflux-" + uuid.uuid4().hex)
