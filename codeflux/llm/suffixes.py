@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = own.join(keys, (F.col("text_md5") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
 
     bits, slice_bits = sizes(groups.count(), 64)
-    (twice,) = count_bitmaps(texts.mapInArrow(_pack(length, slice_bits), PACKED), bits, slice_bits, [2])
+    twice, _ = count_bitmaps(texts.mapInArrow(_pack(length, slice_bits), PACKED), bits, slice_bits, 2)
     twice = docs.sparkSession.sparkContext.broadcast(twice)
     rows = materialize(texts.mapInArrow(_contexts(length, twice), ROWS))
     one = F.struct("node", "low", "windows", "off")

@@ -34,10 +34,10 @@ def classes(texts, ids, k, pct):
     return {i: (len(s), root(i)) for i, s in zip(ids, sets)}
 
 
-@pytest.mark.parametrize(("k", "pct", "frequent", "pair"), [(4, 85, 24, 256), (4, 85, 3, 256), (5, 80, 3, 40), (2, 60, 2, 30)])
-def test_groups_match_brute_force(docs, monkeypatch, k, pct, frequent, pair):
+@pytest.mark.parametrize(("k", "pct", "frequent", "per_group"), [(4, 85, 24, 4), (4, 85, 3, 2), (5, 80, 3, 4), (2, 60, 2, 3), (5, 80, 1, 1)])
+def test_groups_match_brute_force(docs, monkeypatch, k, pct, frequent, per_group):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "PAIR_SIZE", pair)
+    monkeypatch.setattr(jaccard, "PER_GROUP", per_group)
     rng = random.Random(k * pct + frequent)
     words = [f"w{i}" for i in range(300)]
     shared = rng.choices(words, k=40)
@@ -56,6 +56,51 @@ def test_groups_match_brute_force(docs, monkeypatch, k, pct, frequent, pair):
     assert got == classes(texts, ids, k, pct)
 
 
+def altered(rng, words, at):
+    copy = list(words)
+    for i in at:
+        copy[i] = f"q{rng.randrange(10**9)}"
+    return copy
+
+
+def hot_families(rng):
+    """Two families of 60 around texts that overlap just below the threshold; most members are too far from each other."""
+    root = [f"w{i}" for i in range(120)]
+    other = altered(rng, root, range(0, 24, 3))
+    out = []
+    for base in (root, other):
+        for _ in range(60):
+            out.append(" ".join(altered(rng, base, [rng.randrange(120) for _ in range(rng.choice([1, 2, 3, 4]))])))
+    return out
+
+
+@pytest.mark.parametrize("bits", [27, 8])
+def test_hot_families_below_the_threshold(docs, monkeypatch, bits):
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)  # 8: a map in which all tokens seem frequent
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    texts = hot_families(random.Random(11))
+    ids = list(range(len(texts)))
+    frame = docs(texts, ids=ids)
+    want = classes(texts, ids, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame).collect()} == want
+    sets = [shingles(t, 5) for t in texts]
+    links = jaccard.spanning_links(frame).collect()
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]) for r in links)
+    root = {i: i for i in ids}
+    for r in links:
+        old, new = root[r.b], root[r.a]
+        root = {i: new if c == old else c for i, c in root.items()}
+    assert all((root[i] == root[j]) == (want[i][1] == want[j][1]) for i in ids for j in ids)
+
+
+def test_very_long_texts_are_joined_whole(docs):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    texts = [" ".join(x) for x in (long, altered(rng, long, range(0, 20_000, 60)), altered(rng, long, range(0, 20_000, 20)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs(texts, ids=[9, 8, 7])).collect()}
+    assert got == classes(texts, [9, 8, 7], 5, 80) and got[9][1] == 8 and got[7][1] == 7
+
+
 def test_groups_of_awkward_rows(docs):
     got = jaccard.similar_groups(docs(["a b c d e f", "a b c d e f", "", None], ids=[None, 3, 4, None])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 2, "3"), ("4", 0, "4"), ("None", 0, "None"), ("None", 2, "None")]
@@ -75,10 +120,18 @@ def test_bitmaps_never_miss():
     seen = rng.integers(0, 2**64, 5000, dtype=np.uint64)
     packer = bitmaps.Packer(4)
     packed = [b for x in (seen, seen[:100]) for b in [*packer.add(x), *packer.flush()]]
-    keys = np.sort(np.concatenate([bitmaps._unpack(i, d, 4) for b in packed for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]))
+    cells = [bitmaps._unpack(i, d, 4) for b in packed for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    keys = np.sort(np.concatenate([np.repeat(k, n) for k, n in cells]))
     assert (keys == np.sort(np.concatenate([seen, seen[:100]]) >> np.uint64(24))).all()
 
 
+def test_repeats_are_summed_before_the_shuffle():
+    packer = bitmaps.Packer(4)
+    (batch,) = [*packer.add(np.full(1000, 7 << 60, np.uint64)), *packer.flush()]
+    keys, times = bitmaps._unpack(batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), 4)
+    assert len(keys) == 1 and times.tolist() == [1000]
+
+
 def removed(texts, n):
     raws, count = [(t or "").encode() for t in texts], {}
     for b in raws:
