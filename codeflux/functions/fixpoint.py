@@ -1,4 +1,7 @@
-"""Fixpoints over relations that span functions: breadth-first closure, strongly connected components."""
+"""Fixpoints over relations that span functions: breadth-first closure, strongly connected components, layers.
+
+Graphs of at most ``SMALL_EDGES`` edges, counted first, are walked by one task; larger ones in distributed rounds.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +27,86 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most edges of a graph that one task may hold.
+SMALL_EDGES = 500_000
+
+
+def in_one_task(edges: DataFrame, use, ddl: str) -> DataFrame:
+    """The rows that ``use`` makes of all (src, dst), which have been counted, in one task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
+        rows = use([pair for src, dst in held for pair in zip(src, dst)])
+        columns = list(zip(*rows)) or [()] * len(arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
+
+
+def rings(pairs: list[tuple]) -> list[tuple]:
+    """(node, smallest node of its component) for components of two nodes or more, by two depth-first passes."""
+    out: dict = {}
+    back: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for start in out:
+        todo = [] if start in seen else [(start, iter(out[start]))]
+        seen.add(start)
+        while todo:
+            node, after = todo[-1]
+            step = next((n for n in after if n not in seen), None)
+            if step is None:
+                order.append(todo.pop()[0])
+            else:
+                seen.add(step)
+                todo.append((step, iter(out.get(step, ()))))
+    found, done = [], set()
+    for start in reversed(order):
+        if start in done:
+            continue
+        done.add(start)
+        group, todo = [], [start]
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            fresh = [n for n in back.get(node, ()) if n not in done]
+            done.update(fresh)
+            todo += dict.fromkeys(fresh)
+        if len(group) > 1:
+            low = min(group)
+            found += [(n, low) for n in group]
+    return found
+
+
+def heights(pairs: list[tuple]) -> list[tuple]:
+    """(node, longest way down) over edges without cycles."""
+    below: dict = {}
+    left: dict = {}
+    above: dict = {}
+    for a, b in pairs:
+        below.setdefault(a, 0)
+        below.setdefault(b, 0)
+        left[a] = left.get(a, 0) + 1
+        above.setdefault(b, []).append(a)
+    todo = [n for n in below if n not in left]
+    while todo:
+        node = todo.pop()
+        for a in above.get(node, ()):
+            below[a] = max(below[a], below[node] + 1)
+            left[a] -= 1
+            if not left[a]:
+                todo.append(a)
+    return list(below.items())
+
+
 def distances(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(root, node, depth): the fewest edges from each root, at most ``most``; edges are (src, dst)."""
     edges = cut(edges.select("src", "dst").distinct())
@@ -57,6 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without a way in or out are trimmed in rounds; the rest is coloured by its smallest ancestor, and nodes that
     reach their colour's root backwards within the colour are its component."""
     live = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    kind = live.schema["src"].dataType.simpleString()
+    if live.count() <= SMALL_EDGES:
+        return cut(in_one_task(live, rings, f"node {kind}, scc {kind}"))
     found = None
     while not live.isEmpty():
         while True:  # trim

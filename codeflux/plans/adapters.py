@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+def lowering_tasks(spark: SparkSession) -> int:
+    """How many tasks share the lowering of source text: its bytes are few beside the time it takes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +26,7 @@ def _op(op_id: Column, block_id: Column, target: Column, use: Column) -> Column:
         op_id.cast("int").alias("op_id"), block_id.cast("int").alias("block_id"), text("assign").alias("kind"), text("").alias("sub"),
         F.array(target).alias("targets"), F.array(use).alias("uses"), (op_id + 1).cast("int").alias("line"),
         F.array().cast("array<struct<func:string,args:array<string>>>").alias("calls"), text().alias("cond"), text().alias("const"), text().alias("exc"),
-        F.array().cast("array<struct<root:string,path:string>>").alias("stores"), F.lit(False).alias("synthetic"),
+        F.array().cast("array<struct<root:string,path:string>>").alias("stores"), F.lit(False).alias("synthetic"), (op_id + 1).cast("int").alias("end"),
     )
 
 
@@ -32,13 +37,11 @@ def _function(rows: DataFrame, entry: Column, exits: Column, blocks: Column, edg
     return rows.withColumn("locals", F.array_distinct(F.flatten(F.transform("ops", lambda o: o["targets"]))))
 
 
-def event_functions(spark: SparkSession, sf_dir: str, first: int | None = 6) -> DataFrame:
+def event_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function per user: blocks are event types, edges consecutive events, an operation per event."""
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     kind = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")).cast("int") - 1
     events = table(spark, sf_dir, "events").withColumn("p", order)
-    if first is not None:
-        events = events.where(F.col("p") <= first)
     one = F.struct("p", kind.alias("b"), "event_id")
     rows = events.groupBy(F.col("user_id").cast("string").alias("fq")).agg(F.array_sort(F.collect_list(one)).alias("s"))
     ids = F.array_distinct(F.transform("s", lambda x: x["b"]))
@@ -55,7 +58,7 @@ def event_functions(spark: SparkSession, sf_dir: str, first: int | None = 6) ->
 
 EVENTS_SQL = """
 s as (select cast(user_id as varchar) as fq, p, event_id, cast(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 as integer) as b
-      from (select *, row_number() over (partition by user_id order by ts, event_id) as p from events) where p <= 6),
+      from (select *, row_number() over (partition by user_id order by ts, event_id) as p from events)),
 block as (select fq, b, min(p) as pos from s group by fq, b),
 edge as (select distinct x.fq, x.b as src, y.b as dst from s x join s y on x.fq = y.fq and y.p = x.p + 1),
 entry as (select fq, b from s where p = 1),
@@ -100,47 +103,40 @@ ud as (select u.fq, u.op_id as a, max(d.op_id) as b, u.use as name from op u joi
 """
 
 
-def supply_calls(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
+def supply_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites (caller, callee, k, via_arg, soft, seq): from a line's supplier to the next line's in the same order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem")
-    if every > 1:
-        rows = rows.where(F.col("l_orderkey") % every == 0)
-    rows = rows.withColumn("callee", F.lead("l_suppkey").over(order)).where("callee is not null")
+    rows = table(spark, sf_dir, "lineitem").withColumn("callee", F.lead("l_suppkey").over(order)).where("callee is not null")
     return rows.select(
         F.col("l_suppkey").alias("caller"), "callee", F.col("l_linenumber").alias("k"), (F.col("l_returnflag") == "R").alias("via_arg"), (F.col("l_returnflag") == "N").alias("soft")
     )
 
 
-def calls_sql(every: int = 97) -> str:
-    return f"""
+CALLS_SQL = """
 site as (select * from (select l_suppkey as caller, lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as callee,
-         l_linenumber as k, l_returnflag = 'R' as via_arg, l_returnflag = 'N' as soft from lineitem where l_orderkey % {every} = 0) where callee is not null),
+         l_linenumber as k, l_returnflag = 'R' as via_arg, l_returnflag = 'N' as soft from lineitem) where callee is not null),
 call as (select caller, callee, min(k) as k, max(cast(via_arg as integer)) as via_arg, min(cast(soft as integer)) as soft from site group by caller, callee)
 """
 
 
-def state_access(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+def state_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, fq, mode): line items as reads and writes of shared state."""
     rows = table(spark, sf_dir, "lineitem")
-    if every > 1:
-        rows = rows.where(f"l_orderkey % {every} = 0")
     mode = F.when(F.col("l_returnflag") == "R", "w").otherwise("r")
     return rows.select((F.col("l_partkey") % 200).alias("cell"), (F.col("l_suppkey") % 20).alias("fq"), mode.alias("mode"))
 
 
-def order_source(spark: SparkSession, sf_dir: str, every: int = 10, of: str | None = None) -> DataFrame:
+def order_source(spark: SparkSession, sf_dir: str, of: str | None = None) -> DataFrame:
     """(relpath, src): a module per customer, a Python function per order, a statement or two per line item (those that ``of`` holds for)."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if every > 1:
-        items = items.where(f"o_custkey % {every} = 0")
     if of is not None:
         items = items.where(of)
     text = F.when(F.col("l_returnflag") == "R", F.format_string("    if v%d:\n        v%d = 1", F.col("l_partkey") % 7, F.col("l_suppkey") % 7))
     text = text.when(F.col("l_returnflag") == "A", F.format_string("    v%d = v%d + 1", F.col("l_partkey") % 7, F.col("l_suppkey") % 7))
     text = text.otherwise(F.format_string("    g%d(v%d)", F.col("l_suppkey") % 9, F.col("l_partkey") % 7))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", text.alias("t"))
-    body = items.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list(line)).alias("b"))
+    items = items.select("o_custkey", "o_orderkey", line.alias("line")).repartition(lowering_tasks(spark), "o_custkey")
+    body = items.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list("line")).alias("b"))
     code = F.concat(F.format_string("def f%d(v0, v1, v2, v3, v4, v5, v6):\n", "o_orderkey"), F.array_join(F.transform("b", lambda x: x["t"]), "\n"))
     files = body.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", code.alias("c")))), lambda x: x["c"]), "\n\n").alias("src"))
     helpers = "".join(f"def g{i}(x):\n    return x\n\n" for i in range(9))

@@ -16,26 +16,32 @@ from pyspark.sql.types import StructType
 from codeflux.operators.lower import lower_module
 
 # Folders that a scan leaves out (fixed values).
-SKIPPED = (".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "node_modules", "venv")
+SKIPPED = ("__pycache__", ".venv", "venv", ".git", "build", "dist", ".mypy_cache", ".pytest_cache", "node_modules", ".tox", ".eggs")
 
 OP = (
     "struct<op_id:int,block_id:int,kind:string,sub:string,targets:array<string>,uses:array<string>,line:int,"
     "calls:array<struct<func:string,args:array<string>>>,cond:string,const:string,exc:string,"
-    "stores:array<struct<root:string,path:string>>,synthetic:boolean>"
+    "stores:array<struct<root:string,path:string>>,synthetic:boolean,end:int,reads:array<struct<base:string,key:string>>,"
+    "shape:struct<open:boolean,dynamic:boolean,spreads:array<string>,fields:array<struct<key:string,container:boolean,reads:array<string>>>>>"
 )
 FUNCTION = (
     "qualname:string,simple:string,first_line:int,last_line:int,entry:int,exits:array<int>,params:array<string>,locals:array<string>,"
-    "globals:array<string>,nonlocals:array<string>,own_nonlocals:array<string>,"
+    "globals:array<string>,nonlocals:array<string>,own_nonlocals:array<string>,frees:array<string>,subscripts:int,"
+    "annotations:array<struct<name:string,text:string>>,kwarg:string,proven:array<string>,doubted:array<string>,"
     "blocks:array<struct<block_id:int,pos:int,is_handler:boolean,is_finally:boolean,line_lo:int,line_hi:int>>,"
     f"edges:array<struct<src:int,dst:int,kind:string,ord:int>>,ops:array<{OP}>"
 )
 MODULE = (
     "relpath string, error string, module_name string, imports array<struct<name:string,target:string,module:string,lazy:boolean>>, "
     f"classes array<struct<name:string,bases:array<string>,methods:array<string>>>, functions array<struct<{FUNCTION}>>, "
-    "globals array<string>, side_effects array<struct<line:int,what:string>>"
+    "globals array<string>, side_effects array<struct<line:int,what:string>>, call_assigns int, failed array<string>"
 )
 
 
+#: Modules lowered before their facts are handed on.
+SLICE = 16
+
+
 def schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
@@ -61,28 +67,48 @@ def lower(sources: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema(MODULE))
     binary = "content" in sources.columns
 
+    def one(relpath: str, src: str | bytes | None) -> dict:
+        try:
+            if binary:
+                encoding, _ = tokenize.detect_encoding(io.BytesIO(src).readline)
+                src = io.TextIOWrapper(io.BytesIO(src), encoding).read()
+            return lower_module(relpath, src or "")
+        except (SyntaxError, UnicodeDecodeError, RecursionError, LookupError) as e:
+            return lower_module(relpath, "") | {"error": f"{type(e).__name__}: {e}"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for relpath, src in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
-                try:
-                    if binary:
-                        encoding, _ = tokenize.detect_encoding(io.BytesIO(src).readline)
-                        src = io.TextIOWrapper(io.BytesIO(src), encoding).read()
-                    rows.append(lower_module(relpath, src or ""))
-                except (SyntaxError, UnicodeDecodeError, RecursionError, LookupError) as e:
-                    rows.append(lower_module(relpath, "") | {"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+            for i in range(0, batch.num_rows, SLICE):  # what a task holds at once is a few modules' facts
+                part = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_pylist([one(*row) for row in zip(*(part.column(c).to_pylist() for c in (0, 1)))], arrow)
 
     return sources.select("relpath", "content" if binary else "src").mapInArrow(run, schema(MODULE))
 
 
 def functions(modules: DataFrame) -> DataFrame:
-    """One row per function: fq, relpath and all its facts; of functions with one name in a file the last counts."""
-    each = modules.select("relpath", F.posexplode("functions").alias("pos", "f")).select("relpath", "pos", "f.*")
-    best = each.groupBy("relpath", "qualname").agg(F.max("pos").alias("pos"))
-    fq = F.concat_ws(":", "relpath", "qualname").alias("fq")
-    return each.join(best, ["relpath", "qualname", "pos"], "left_semi").select(fq, "*").drop("pos")
+    """One row per function: fq, relpath and all its facts."""
+    each = modules.select("relpath", F.explode("functions").alias("f")).select("relpath", "f.*")
+    return each.select(F.concat_ws(":", "relpath", "qualname").alias("fq"), "*")
+
+
+def named(fns: DataFrame, name: str) -> DataFrame:
+    """Functions that a name means: a whole fq or path ending, a qualified name or its ending, a simple name. Of endings in
+    one file only the shallowest counts, then the first by name."""
+    from pyspark.sql import Window
+
+    path, _, qual = name.rpartition(":")
+    quoted = "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in qual)
+    fits = F.col("qualname").rlike(rf"(^|\.){quoted}$")
+    if path:
+        fits &= (F.col("relpath") == path) | F.col("relpath").endswith("/" + path)
+    depth = F.struct(F.size(F.split("qualname", r"\.")), F.col("qualname"))
+    first = F.row_number().over(Window.partitionBy("relpath").orderBy(depth))
+    return fns.where(fits).withColumn("place", first).where("place = 1").drop("place")
+
+
+def text_of(sources: DataFrame) -> DataFrame:
+    """relpath, src of scanned files, as UTF-8."""
+    return sources.select("relpath", F.decode("content", "UTF-8").alias("src")) if "content" in sources.columns else sources
 
 
 def blocks(fns: DataFrame) -> DataFrame:
@@ -103,7 +129,9 @@ def calls(fns: DataFrame) -> DataFrame:
 
 
 def parse_errors(modules: DataFrame) -> DataFrame:
-    return modules.where("error is not null").select("relpath", "error")
+    """relpath, error: modules that do not parse, and functions that cannot be lowered."""
+    lost = modules.select("relpath", F.explode("failed").alias("error"))
+    return modules.where("error is not null").select("relpath", "error").unionByName(lost)
 
 
 def source_lines(sources: DataFrame) -> DataFrame:
