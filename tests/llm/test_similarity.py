@@ -179,7 +179,11 @@ def test_deep_shallow_sorting():
     assert got.tolist() == [texts.count(t) > 1 for t in texts]
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize(("block", "chunk"), [(1024, 512), (7, 3)])
+def test_top_k_matches_brute_force(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "FEWEST", chunk)
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, rng.choice([0.1, 1])) for _ in range(6)]) for i in range(400)]
     rows += [(400 + i, rows[20][1]) for i in range(60)] + [(900, [1.0, 2.0]), (920, [3.0, -1.0])]
@@ -196,6 +200,17 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(topk.integer_vectors(frame.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_norms_and_one_crowded_cell(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) * 1e6 for _ in range(4)]) for i in range(120)] + [(1000 + i, [5e6, 5e6, 0.0, 1.0]) for i in range(2500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.integer_vectors(frame), F.col("vec_id") % 20 == 0, k=5).collect()
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    for q in (0, 20, 1000, 3480):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want]
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_RECORDS", 3)
     long = "<p>é " * 50
