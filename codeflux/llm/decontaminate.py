@@ -1,8 +1,9 @@
 """Benchmark decontamination with a broadcast set of test n-gram hashes (DataFrame operations only).
 
-Benchmark items become windows of ``n`` consecutive words (a shorter item is one window of all its words). Every
-document word window of those lengths is hashed, looked up in the broadcast windows and, where the hash is found,
-verified word by word. A benchmark with more windows than may be broadcast is joined by shuffle instead.
+Benchmark items become windows of ``n`` consecutive words (a shorter item is one window of all its words). Of every
+document word window of those lengths the hash alone, with its place, is looked up in the tests' hashes: broadcast where
+they are few, by shuffle where they are not. Rows that meet any are read again, and each of their hits is verified word by
+word. No text and no list of words travels with windows, so the work is linear in a text's length on both paths.
 
 Defined results: a null text has no words, n_words 0 and no hits; items without an id or without words give no
 windows; items that repeat count once by id; rows that repeat (same id and text) each get the same result, and a null
@@ -26,19 +27,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
 
 
-def _window(start: Column, length: int, of: Column) -> Column:
-    return F.struct(
-        start.cast("int").alias("start"),
-        F.lit(length).alias("length"),
-        F.xxhash64(F.slice(of, start + 1, length)).alias("hash"),
-    )
+def hashed(of: Column) -> Column:
+    """A hash for each word; a window's hash is that of its words' hashes."""
+    return F.transform(of, lambda w: F.xxhash64(w))
 
 
 def _windows(of: Column, length: int) -> Column:
-    """All windows of ``length`` words; none where there are fewer words."""
+    """Place, length and hash of all windows of ``length`` words, from the words' hashes; none where there are fewer."""
     starts = F.sequence(F.lit(0), F.size(of) - length)
+    one = lambda i: F.struct(i.cast("int").alias("start"), F.lit(length).alias("length"), F.xxhash64(F.slice(of, i + 1, length)).alias("hash"))
     none = F.array().cast("array<struct<start:int,length:int,hash:bigint>>")
-    return F.when(F.size(of) >= length, F.transform(starts, lambda i: _window(i, length, of))).otherwise(none)
+    return F.when(F.size(of) >= length, F.transform(starts, one)).otherwise(none)
 
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -49,47 +48,53 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     cut = item.where("size(w) > 0").select("item", "w", length.alias("length"), starts.alias("start"))
     each = cut.select("item", "length", F.slice("w", F.col("start") + 1, F.col("length")).alias("words"))
     found = each.groupBy("length", "words").agg(F.collect_set("item").alias("items"))
-    return found.withColumn("hash", F.xxhash64("words"))
+    return found.withColumn("hash", F.xxhash64(hashed(F.col("words"))))
+
+
+def _candidates(docs: DataFrame, tests: DataFrame, lengths: list[int], broadcast_rows: int) -> DataFrame:
+    """doc_id, text_hash, n_words, copies (rows with this id and text) and hits (place, length, hash) whose hash a test has."""
+    doc = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    doc = doc.select("doc_id", "text_hash", F.size("w").alias("n"), hashed(F.col("w")).alias("h"))
+    mark = F.struct(F.lit(-1).alias("start"), F.col("n").alias("length"), F.lit(None).cast("bigint").alias("hash"))
+    # the words' hashes are bound once; named inside, they would be computed for every window
+    spots = bind(lambda s: F.concat(F.array(s["mark"]), *[_windows(s["h"], k) for k in lengths]), mark=mark, h=F.col("h"))
+    each = doc.select("doc_id", "text_hash", F.explode(spots).alias("x")).select("doc_id", "text_hash", "x.*")
+    keys = tests.select("hash", "length").distinct().withColumn("known", F.lit(True))
+    if small(tests, broadcast_rows):
+        rows = each.join(F.broadcast(keys), ["hash", "length"], "left").where("start < 0 or known")
+    else:
+        rows = each.where("start >= 0").join(keys, ["hash", "length"]).unionByName(each.where("start < 0").withColumn("known", F.lit(None).cast("boolean")))
+    is_mark = F.col("start") < 0
+    return rows.groupBy("doc_id", "text_hash").agg(
+        F.max(F.when(is_mark, F.col("length"))).cast("long").alias("n_words"),
+        F.count(F.when(is_mark, 1)).alias("copies"),
+        F.collect_set(F.when(~is_mark, F.struct("start", "length", "hash"))).alias("hits"),
+    )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_words, hits (word positions, from 0), items (sorted ids)."""
     tests = materialize(item_windows(benchmark, n))
     lengths = sorted(r[0] for r in tests.select("length").distinct().collect())  # at most n values
-    keys = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    doc = docs.select(*keys, words(F.col("text")).alias("w"))
-    mark = F.struct(F.lit(-1).alias("start"), F.size("w").alias("length"), F.lit(None).cast("bigint").alias("hash"))
-    spots = F.concat(*[_windows(F.col("w"), k) for k in lengths]) if lengths else None
-    same = F.slice(F.col("d.w"), F.greatest(F.col("d.x.start"), F.lit(0)) + 1, F.col("d.x.length")) == F.col("t.words")
-    on = (F.col("d.x.hash") == F.col("t.hash")) & (F.col("d.x.length") == F.col("t.length")) & same
-    out = ["d.doc_id", "d.text_hash", "d.x.start", "d.x.length", "t.items"]
-    marks = doc.select("doc_id", "text_hash", F.lit(-1).alias("start"), F.size("w").alias("length"), F.lit(None).cast("array<string>").alias("items"))
-    if spots is None:
-        rows = marks
-    elif small(tests, broadcast_rows):
-        every = doc.select("doc_id", "text_hash", "w", F.explode(F.concat(F.array(mark), spots)).alias("x")).alias("d")
-        rows = every.join(F.broadcast(tests).alias("t"), on, "left").where("x.start < 0 or items is not null").select(*out)
-    else:
-        every = doc.select("doc_id", "text_hash", "w", F.explode(spots).alias("x")).alias("d")
-        rows = every.join(tests.alias("t"), on).select(*out).unionByName(marks)
-    is_mark = F.col("start") < 0
-    per = rows.groupBy("doc_id", "text_hash").agg(
-        F.max(F.when(is_mark, F.col("length"))).cast("long").alias("n_words"),
-        F.count(F.when(is_mark, 1)).alias("copies"),
-        F.collect_set(F.when(~is_mark, F.struct("start", "length"))).alias("spans"),
-        F.collect_set(F.when(~is_mark, F.col("items"))).alias("sets"),
-    )
+    met = materialize(_candidates(docs, tests, lengths, broadcast_rows))
+
+    some = met.where("size(hits) > 0").select("doc_id", "text_hash", "hits")
+    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.text_hash"))
+    again = docs.select("doc_id", "text").alias("d").join(maybe_broadcast(some).alias("m"), on)
+    again = again.select("m.doc_id", "m.text_hash", "m.hits", words(F.col("d.text")).alias("w"))
+    cut = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"), h["hash"].alias("hash"), F.slice("w", h["start"] + 1, h["length"]).alias("words")))
+    each = again.select("doc_id", "text_hash", F.explode(cut).alias("x")).select("doc_id", "text_hash", "x.*")
+    sure = each.join(maybe_broadcast(tests.select("hash", "length", "words", "items")), ["hash", "length", "words"])
+    spans = sure.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("sets"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    per = per.select(
-        "doc_id",
-        "text_hash",
-        "n_words",
-        "copies",
-        F.array_distinct(covered).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"),
-    )
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return per.withColumn("copy", again).drop("copy", "copies")
+    spans = spans.select("doc_id", "text_hash", F.array_distinct(covered).alias("hits"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
+    spans = materialize(spans)
+
+    both = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash"))
+    per = met.select("doc_id", "text_hash", "n_words", "copies").alias("a").join(maybe_broadcast(spans).alias("b"), both, "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    per = per.select("a.doc_id", "a.text_hash", "n_words", "copies", F.coalesce("b.hits", none("int")).alias("hits"), F.coalesce("b.items", none("string")).alias("items"))
+    return per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, fewest_items: int = FEWEST_ITEMS) -> DataFrame:
@@ -97,9 +102,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, fewest_item
     cut, each with what follows it up to the next word, and n_chars is set anew if there is such a column."""
     hit = scan(docs, benchmark, n).where("size(hits) > 0").select("doc_id", "text_hash", "hits", F.size("items").alias("n_items"))
     hit = materialize(hit.distinct())
-    own = docs.withColumn("own_hash", F.xxhash64("text"))
-    on = F.col("o.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("o.own_hash") == F.col("h.text_hash"))
-    met = own.alias("o").join(maybe_broadcast(hit, BROADCAST_ROWS // 10).alias("h"), on, "left").where(f"n_items is null or n_items < {fewest_items}")
+    on = F.col("o.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64("o.text") == F.col("h.text_hash"))
+    met = docs.alias("o").join(maybe_broadcast(hit).alias("h"), on, "left").where(f"h.n_items is null or h.n_items < {fewest_items}")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col("o.text"), F.lit(f"{word}++{gap}*+"), F.lit(0))
