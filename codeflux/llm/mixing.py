@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import free_name, materialize, maybe_broadcast
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -123,11 +123,14 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
 
 
 def apply_mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, whole, with ``mix_words`` and ``mix_copies`` (how often each is taken)."""
+    """The rows of ``docs`` that the mix takes, whole, with ``mix_words`` and ``mix_copies`` (how often each is taken);
+    where ``docs`` has columns of these names, underscores are added to the new ones."""
     sized = materialize(sized_rows(docs, seed).drop("doc_id"))
     plan = materialize(plan_mix(sized, weights, share, repeats))
-    hashed = docs.withColumns({"mix_size": word_count(F.col("text")), "mix_hash": row_hash(F.col("doc_id"), F.col("text"), seed)})
+    size, hash_ = free_name(docs, "mix_size"), free_name(docs, "mix_hash")
+    hashed = docs.withColumns({size: word_count(F.col("text")), hash_: row_hash(F.col("doc_id"), F.col("text"), seed)})
     joined = hashed.alias("s").join(maybe_broadcast(plan).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "left")
-    copies = F.col("p.passes") + (F.col("s.mix_hash") < F.col("p.threshold")).cast("long")
-    chosen = joined.select("s.*", (F.col("s.mix_size") * copies).alias("mix_words"), copies.alias("mix_copies"))
-    return chosen.where("mix_copies > 0").drop("mix_size", "mix_hash")
+    copies = F.col("p.passes") + (F.col(f"s.{hash_}") < F.col("p.threshold")).cast("long")
+    words, times = free_name(docs, "mix_words"), free_name(docs, "mix_copies")
+    kept = [F.col(f"s.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*kept, (F.col(f"s.{size}") * copies).alias(words), copies.alias(times)).where(F.col(times) > 0)

@@ -199,9 +199,8 @@ def mask(docs: DataFrame, confident: float = CONFIDENT) -> DataFrame:
 
     runs = F.aggregate("spans", F.array().cast(acc), merge)
     found = materialize(found.select("doc_id", "text_hash", runs.alias("runs")))
-    own = docs.withColumn("own_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("o.own_hash") == F.col("f.text_hash"))
-    met = own.alias("o").join(maybe_broadcast(found, 100_000).alias("f"), on, "left")
+    on = F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.coalesce(F.col("o.text"), F.lit(""))) == F.col("f.text_hash"))
+    met = docs.alias("o").join(maybe_broadcast(found).alias("f"), on, "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     runs, text = F.col("f.runs"), F.col("o.text")
     piece = lambda r, i: F.concat(

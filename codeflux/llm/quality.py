@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .tokens import SPACE, U, mix, runs, utf8, words
 
 DIM_BITS, MOST_ROWS, STEPS = 9, 6_000, 300
@@ -139,26 +140,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_ro
     return (np.array(found[0].weights, np.float32), found[0].prior) if found else (np.zeros(DIM + 1, np.float32), 0.5)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns (text among the inputs) and score for every row."""
+def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str, score: str) -> DataFrame:
+    """``keep`` columns and the score of every row; ``text`` and ``score`` are names that ``docs`` does not have."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
-            data, at = utf8(batch.column("cf_text"))
+            data, at = utf8(batch.column(len(keep)))
             for i, j in runs(at, 1 << 18):
                 x = features(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 s = _sigmoid((x @ shared.value[:-1] + shared.value[-1]).astype(float))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(s)], [*keep, "cf_score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(s)], [*keep, score])
 
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("cf_score", "double")
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias("cf_text")).mapInArrow(run, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text)).mapInArrow(run, kept.schema.add(score, "double"))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    return scored(docs, weights, ["doc_id"]).withColumnRenamed("cf_score", "score")
+    """doc_id and score of every row."""
+    return scored(docs.select("doc_id", "text"), weights, ["doc_id"], "body", "score")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    return scored(docs, weights, docs.columns).where(F.col("cf_score") >= threshold).drop("cf_score")
+    text, mark = free_name(docs, "cf_text"), free_name(docs, "cf_score")
+    return scored(docs, weights, docs.columns, text, mark).where(F.col(f"`{mark}`") >= threshold).drop(mark)

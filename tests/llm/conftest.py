@@ -2,13 +2,13 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, node string, hash long, c int, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, node string, hash long, c int, label string, own_hash string, own_md5 int, mix_size string, mix_words string, cf_text string, cf_score string, h string"
 
 
 def rows_of(texts, ids=None, langs=None, sources=None):
     """Document rows with columns whose names operators use inside."""
     ids = list(range(len(texts))) if ids is None else ids
-    return [(i, t, (langs or ["en"] * len(texts))[k], (sources or ["s"] * len(texts))[k], len(t or ""), 7, "n", 3, 1, "x") for k, (i, t) in enumerate(zip(ids, texts))]
+    return [(i, t, (langs or ["en"] * len(texts))[k], (sources or ["s"] * len(texts))[k], len(t or ""), 7, "n", 3, 1, "x", "o", 5, "m", "w", "t", "s", "h") for k, (i, t) in enumerate(zip(ids, texts))]
 
 
 @pytest.fixture(scope="session")

@@ -41,6 +41,15 @@ def test_scan_matches_brute_force(spark, docs, prose, most):
     assert sorted((str(r.doc_id), str(r.n_words), str(len(r.hits)), str(r["items"])) for r in got) == want
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_scan_of_very_long_texts(spark, docs, prose, most):
+    item = prose(12, 21)
+    text = f"{prose(9000)} {item} {prose(9000)} {item} {prose(2000)}"
+    bench = spark.createDataFrame([(1, item), (2, prose(400, 22))], "item_id long, text string")
+    got = decontaminate.scan(docs([text]), bench, broadcast_rows=most).first()
+    assert (got.n_words, len(got.hits), got["items"]) == expected_hits(text, [(1, item), (2, prose(400, 22))])
+
+
 def test_scan_without_rows(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.hits, r["items"]) for r in decontaminate.scan(docs(["a b"]), none).collect()] == [(2, [], [])]
@@ -88,7 +97,7 @@ def test_mix_meets_its_targets(docs, prose):
         assert abs(taken[s] - want[s]) <= 17
     assert len(got) == len(texts)
     kept = mixing.apply_mix(frame).collect()
-    assert sum(r.mix_words for r in kept) == sum(taken.values()) and {"hash", "size", "c"} <= set(kept[0].asDict())
+    assert sum(r.mix_words_ for r in kept) == sum(taken.values()) and {"hash", "size", "c"} <= set(kept[0].asDict())
 
 
 def test_mix_of_nothing(docs):
