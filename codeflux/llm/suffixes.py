@@ -2,10 +2,14 @@
 
 A window is a string of ``length`` bytes. Each window has one anchor: the leftmost of its ``GRAM``-byte grams with the
 smallest hash, so equal windows have equal anchors at equal places, and only windows around anchors that occur twice can
-repeat. Runs of windows with one anchor form a context. Contexts that are equal as a whole need no more; where contexts
-of an anchor differ, their windows are suffixes to sort: a multikey quicksort over eight-byte symbols goes to a shallow
-depth, and what is still together is ordered by blind tries, which compare each suffix with one leaf. Suffixes that stay
-together over ``length`` bytes repeat.
+repeat. Runs of windows with one anchor form a context. Equal contexts are one class, of which one is sorted; they are
+told by two 64-bit hashes, of the anchor and of the whole. Where contexts of an anchor differ, their windows are suffixes
+to sort: a multikey quicksort over eight-byte symbols goes to a shallow depth, and the groups that are still together,
+with their long common prefixes, are ordered by blind tries, which compare each suffix with one leaf. Windows next to
+each other in the order that agree over ``length`` bytes repeat.
+
+A crowded anchor's windows are dealt to parts of about ``WINDOWS``: by their place relative to the anchor, and where one
+place alone has more, by their first bytes. Only equal windows stay together whatever their number.
 
 Texts that are equal are sorted once; a text of ``length`` bytes or more that several rows hold repeats as a whole.
 
@@ -30,8 +34,10 @@ from .tokens import U, mix, runs, utf8
 
 LENGTH, GRAM, SHALLOW = 200, 32, 40
 SEGMENT = 1 << 20
-#: Contexts of one anchor above which their windows are dealt to several tasks by their place.
-CROWD = 2000
+#: About how many windows of an anchor are sorted at once; beyond it they are dealt to parts.
+WINDOWS = 1 << 21
+#: Suffixes of a group that are ordered at once by plain sorting, in place of further partitions.
+FEW = 32
 _PLACE = U((1 << 22) - 1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,20 +130,23 @@ CUT = "gram bigint, part int, node bigint, once boolean, low int, bytes binary"
 
 
 def _cut(length: int):
-    """Bytes of contexts; a crowded anchor's windows are dealt to parts by their place relative to the anchor."""
+    """Bytes of contexts; a crowded anchor's windows are dealt to parts by place, then by the first bytes."""
 
     def run(batches):
         for batch in batches:
             out = {"gram": [], "part": [], "node": [], "once": [], "low": [], "bytes": []}
+            places = length - GRAM + 1
             for text, spots in zip(batch.column("text"), batch.column("spots")):
                 raw = (text.as_py() or "").encode()
                 for s in spots.as_py():
-                    width = -(-(length - GRAM + 1) // s["parts"])
+                    width, finer = -(-places // min(s["parts"], places)), -(-s["parts"] // places)
                     t = 0
                     while t < s["windows"]:
                         part = (length - GRAM - s["off"] + t) // width
                         stop = min(s["windows"], (part + 1) * width - (length - GRAM - s["off"]))
                         low = s["low"] + t
+                        if finer > 1:  # one window each
+                            part = part * finer + xxhash.xxh3_64_intdigest(raw[low : low + 16]) % finer
                         for name, x in (("gram", s["gram"]), ("part", part), ("node", s["node"]), ("once", s["once"]), ("low", low), ("bytes", raw[low : s["low"] + stop - 1 + length])):
                             out[name].append(x)
                         t = stop
@@ -147,13 +156,13 @@ def _cut(length: int):
     return run
 
 
-def _trie(suffixes: list[tuple[int, bytes]], depth: int) -> list[list[int]]:
-    """Orders (number, text) that agree on ``depth`` bytes by a blind trie; returns its leaves: numbers of equal texts.
+def blind_trie(suffixes: list[tuple[int, bytes]], depth: int) -> list[list[int]]:
+    """The numbers of (number, text), in order of their texts, equal ones together; texts agree on ``depth`` bytes.
 
     An inner node is (symbol number, {symbol: child}), a leaf [text, numbers]. A search looks at the nodes' symbols alone,
-    compares with the one leaf it meets, and branches off where the two first differ."""
+    compares with the one leaf it meets, and branches off where the two first differ. At the end children are visited by
+    their symbols."""
     top: tuple | list = [suffixes[0][1], [suffixes[0][0]]]
-    leaves = [top]
     for number, mine in suffixes[1:]:
         node = top
         while type(node) is tuple:
@@ -173,7 +182,6 @@ def _trie(suffixes: list[tuple[int, bytes]], depth: int) -> list[list[int]]:
             else:
                 high = middle
         leaf = [mine, [number]]
-        leaves.append(leaf)
         node, parent, step = top, None, b""
         while type(node) is tuple and node[0] < low:
             parent, step = node, mine[node[0] : node[0] + 8]
@@ -186,33 +194,81 @@ def _trie(suffixes: list[tuple[int, bytes]], depth: int) -> list[list[int]]:
                 top = new
             else:
                 parent[1][step] = new
-    return [numbers for _, numbers in leaves]
+    ordered, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        if type(node) is tuple:
+            todo += [node[1][symbol] for symbol in sorted(node[1], reverse=True)]
+        else:
+            ordered.append(node[1])
+    return ordered
+
+
+def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of group and first ``shallow`` bytes, and the segment of each: equal ones share it.
+
+    All segments take their steps together: each is parted by its middle member's symbol into smaller, equal and larger
+    ones; the equal ones go on with the next symbol. Segments of a few suffixes are sorted by symbol at once. A suffix that
+    is alone is in place."""
+    order = np.argsort(group, kind="stable")
+    live = np.arange(len(order))
+    segment = live.copy()  # the place where each one's segment begins
+
+    def part(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Begins a segment of the live ones wherever a key changes; which segment each is in, and of how many."""
+        new = np.ones(len(live), bool)
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        segment[live] = live[first][which]
+        return which, np.diff(np.append(first, len(live)))
+
+    which, size = part((group[order],)) if len(order) else (live, live)
+    depth = np.zeros(len(order), np.int64)
+    while len(live):
+        keep = (size[which] > 1) & (depth[live] < shallow)
+        live = live[keep]
+        if not len(live):
+            break
+        own = segment[live]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        size = np.diff(np.append(first, len(live)))
+        which = np.repeat(np.arange(len(first)), size)
+        symbol = symbols[starts[order[live]] + depth[live]].copy().view(">u8").ravel().astype(U)
+        pivot = symbol[first + size // 2][which]
+        few = (size <= FEW)[which]
+        side = np.where(few, symbol, (symbol > pivot).astype(U) + (symbol >= pivot).astype(U))  # 0 smaller, 1 equal, 2 larger
+        by = np.lexsort((side, which))
+        order[live], depth[live] = order[live[by]], depth[live[by]] + np.where(few[by] | (side[by] == 1), 8, 0)
+        which, size = part((which[by], side[by]))
+    return order, segment
+
+
+def sort_windows(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at ``starts`` in order of group and bytes, and whether each equals the one before it."""
+    symbols = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), np.uint8), 8)
+    shallow = min(shallow, length // 8 * 8)
+    order, segment = multikey_quicksort(symbols, starts, group, shallow)
+    same = np.zeros(len(order), bool)
+    edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+        numbers = order[a:b].tolist()
+        at = a
+        for leaf in blind_trie([(i, data[p : p + length]) for i, p in zip(numbers, starts[order[a:b]].tolist())], shallow):
+            order[at : at + len(leaf)] = leaf
+            same[at + 1 : at + len(leaf)] = True
+            at += len(leaf)
+    return order, same
 
 
 def repeated(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Which windows at ``starts`` occur at another of them in their group too. ``group`` ascends; ``data`` holds
-    ``length`` bytes from each start."""
-    symbols = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), np.uint8), 8)
+    """Which windows at ``starts`` occur at another of them in their group too: those equal to a neighbour in the order.
+    ``data`` holds ``length`` bytes from each start."""
+    order, same = sort_windows(data, starts, group, length, shallow)
     twice = np.zeros(len(starts), bool)
-    order = np.arange(len(starts))
-    shallow = min(shallow, length // 8 * 8)
-    for depth in range(0, shallow, 8):
-        symbol = symbols[starts[order] + depth].copy().view(">u8").ravel().astype(U)
-        by = np.lexsort((symbol, group))
-        order, group, symbol = order[by], group[by], symbol[by]
-        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])])) - 1
-        together = np.bincount(group)[group] > 1
-        order, group = order[together], group[together]
-        if not len(order):
-            return twice
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
-    numbers, places = order.tolist(), starts[order].tolist()
-    found = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        for leaf in _trie([(i, data[p : p + length]) for i, p in zip(numbers[a:b], places[a:b])], shallow):
-            if len(leaf) > 1:
-                found += leaf
-    twice[found] = True
+    twice[order] = same | np.append(same[1:], False)[: len(same)]
     return twice
 
 
@@ -299,7 +355,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wholly = rows.join(often, ["gram", "whole"]).select("node", "low", (F.col("low") + F.col("windows") - 1 + length).alias("high"))
 
     mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
-    parts = F.least(F.ceil(F.col("kinds") / CROWD), F.lit(8)).cast("int").alias("parts")
+    parts = F.ceil(F.col("kinds") * (length - GRAM + 1) / WINDOWS).cast("int").alias("parts")
     spots = classes.join(mixed.select("gram", parts), "gram").select("gram", (F.col("times") == 1).alias("once"), "one.*", "parts")
     by_node = materialize(spots.groupBy("node").agg(F.collect_list(F.struct("gram", "node", "once", "low", "windows", "off", "parts")).alias("spots")))
     chosen = texts.join(maybe_broadcast(by_node.select("node")), "node", "left_semi")
@@ -323,5 +379,5 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     named = materialize(named)
     out = own.select("doc_id", "text_md5", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
-    found = out.join(maybe_broadcast(named, 500_000), "text_md5", "left")
+    found = out.join(maybe_broadcast(named), "text_md5", "left")
     return found.select("doc_id", "n_bytes", "n_removed", "spans", F.coalesce("kept_sha256", "own").alias("kept_sha256"))

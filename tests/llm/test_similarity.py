@@ -149,8 +149,11 @@ def removed(texts, n):
     return out
 
 
-def test_repeats_match_brute_force(docs, prose, monkeypatch):
-    monkeypatch.setattr(suffixes, "CROWD", 3)
+@pytest.mark.parametrize(("windows", "segment", "bits"), [(1 << 21, 1 << 20, 27), (40, 2000, 27), (5, 1 << 20, 8)])
+def test_repeats_match_brute_force(docs, prose, monkeypatch, windows, segment, bits):
+    monkeypatch.setattr(suffixes, "WINDOWS", windows)  # 5: every window is dealt by place and first bytes
+    monkeypatch.setattr(suffixes, "SEGMENT", segment)
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)
     a, b = prose(60, 1), prose(50, 2)
     near = [a[:i] + "é" + a[i + 1 :] for i in range(5, 300, 37)]
     texts = [prose(80), f"{prose(30)} {a} {prose(20)}", f"{a}{b}", f"{prose(9)}{b}{b}", *near, a, a, "x" * 450, "ab" * 150, None, "", "y" * 199, f"{prose(5)}{a[50:260]}{prose(5)}", prose(3000)]
@@ -172,11 +175,16 @@ def test_long_texts_are_cut_into_segments(monkeypatch):
 
 def test_deep_shallow_sorting():
     rng = random.Random(4)
-    data = "".join(rng.choices("ab", k=400)).encode() * 2 + b"a" * 300
+    data = "".join(rng.choices("ab", k=400)).encode() * 2 + b"a" * 300 + bytes(rng.choices(range(256), k=300))
     starts = np.arange(len(data) - 64 + 1)
-    got = suffixes.repeated(data, starts, np.zeros(len(starts), np.int64), length=64, shallow=16)
+    group = starts % 3
+    order, same = suffixes.sort_windows(data, starts, group, length=64, shallow=16)
     texts = [data[s : s + 64] for s in starts]
+    keys = [(group[i], texts[i]) for i in order]
+    assert keys == sorted(keys) and same.tolist() == [False, *(a == b for a, b in zip(keys, keys[1:]))]
+    got = suffixes.repeated(data, starts, np.zeros(len(starts), np.int64), length=64, shallow=16)
     assert got.tolist() == [texts.count(t) > 1 for t in texts]
+    assert suffixes.repeated(b"", starts[:0], group[:0]).tolist() == []
 
 
 @pytest.mark.parametrize(("block", "chunk"), [(1024, 512), (7, 3)])
