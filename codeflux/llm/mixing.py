@@ -29,7 +29,10 @@ def word_count(text: Column) -> Column:
 
 
 def row_hash(doc_id: Column, text: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - HASH_BITS)
+    """60 bits of the MD5 of seed, id and text."""
+    none = F.lit("")
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), none), F.coalesce(text, none))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:

@@ -53,3 +53,36 @@ reach as (select x, y from edge union select r.x, e.y from reach r join edge e o
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id
 from documents d left join n using (doc_id) left join (select x as doc_id, min(y) as low from reach group by x) m using (doc_id)
 """
+
+ORACLES["op2_source_mixing"] = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+           cast('0x' || substr(md5('17|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) as h from documents),
+s as (select source, sum(size) as n, 2.0 * sum(size) as cap, [5.0, 2.0, 1.0][cast((row_number() over (order by source nulls last) - 1) % 3 as integer) + 1] as w from d group by source),
+o as (select *, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as taken,
+      sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as rest,
+      row_number() over (order by cap / w, source nulls last) as place, 1.5 * (select sum(n) from s) as budget from s),
+lam as (select budget - taken as left_, rest from o where (budget - taken) * w / rest < cap order by place limit 1),
+t as (select source, n, least((select left_ from lam) * w / (select rest from lam), cap) as target from s),
+p as (select source, cast(n as bigint) as source_size, coalesce(target, 2.0 * n) as target, case when n > 0 then cast(floor(coalesce(target, 2.0 * n) / n) as bigint) else 0 end as passes from t),
+b as (select d.source, d.h, sum(d.size) as words, p.target - p.passes * p.source_size as need from d join p on d.source is not distinct from p.source where d.size > 0 group by all),
+r as (select *, sum(words) over (partition by source order by h) as through from b where need > 0),
+e as (select source, case when words - (need - through + words) < need - through + words then h + 1 else h end as cut from r where through > need and through - words <= need)
+select d.doc_id, d.size, p.source_size, p.target,
+       d.size * (p.passes + case when d.h < coalesce(e.cut, case when p.target - p.passes * p.source_size > 0 then 1152921504606846976 else 0 end) then 1 else 0 end) as taken
+from d join p on d.source is not distinct from p.source left join e on d.source is not distinct from e.source
+"""
+
+ORACLES["op10_suffix_dedup"] = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select r, s, hash(b[s:s + 199]) as h, md5(hex(b[s:s + 31])) as g from (select r, b, unnest(range(1, octet_length(b) - 198)) as s from d)),
+twice as (select h, g from w group by h, g having count(*) > 1),
+hit as (select r, s, max(s + 200) over (partition by r order by s rows between unbounded preceding and 1 preceding) as before from w join twice using (h, g)),
+run as (select r, s, sum(case when before is null or s > before then 1 else 0 end) over (partition by r order by s) as k from hit),
+span as (select r, k, min(s) as low, max(s) + 200 as high from run group by r, k),
+piece as (select r, low, coalesce(lag(high) over (partition by r order by low), 1) as start, low - 1 as stop from span
+          union all select r, 2147483647, max(high), 2147483647 from span group by r),
+kept as (select r, sha256(unhex(string_agg(hex(b[start:least(stop, octet_length(b))]), '' order by low))) as kept from piece join d using (r) group by r),
+n as (select r, cast(sum(high - low) as bigint) as n_removed, count(*) as n_spans from span group by r)
+select d.doc_id, cast(octet_length(b) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(kept, sha256(b)) as kept_sha256
+from d left join n using (r) left join kept using (r)
+"""
