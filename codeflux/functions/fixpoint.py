@@ -1,6 +1,7 @@
 """Fixpoints over relations that span functions: breadth-first closure, strongly connected components, layers.
 
-Graphs of at most ``SMALL_EDGES`` edges, counted first, are walked by one task; larger ones in distributed rounds.
+Graphs of at most ``SMALL_EDGES`` edges, counted first, are walked by one task, or sent to all that search from roots of
+their own; larger ones are walked in distributed rounds.
 """
 
 from __future__ import annotations
@@ -110,6 +111,8 @@ def heights(pairs: list[tuple]) -> list[tuple]:
 def distances(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(root, node, depth): the fewest edges from each root, at most ``most``; edges are (src, dst)."""
     edges = cut(edges.select("src", "dst").distinct())
+    if edges.count() <= SMALL_EDGES:
+        return _from_each_root(edges, roots, most)
     front = cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = front, 0
     while most is None or depth < most:
@@ -122,6 +125,50 @@ def distances(edges: DataFrame, roots: DataFrame, most: int | None = None) -> Da
     return seen
 
 
+def _from_each_root(edges: DataFrame, roots: DataFrame, most: int | None) -> DataFrame:
+    """``distances`` where all edges, which have been counted, fit every task: each root is searched from where it lies."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, kind = edges.sparkSession, roots.schema["node"].dataType.simpleString()
+    table = edges.toArrow()
+    src, dst = (table.column(c).to_pylist() for c in ("src", "dst"))
+    place = {n: i for i, n in enumerate(dict.fromkeys([*src, *dst]))}
+    heads = np.array([place[n] for n in src], np.int64)
+    order = np.argsort(heads, kind="stable")
+    after = np.array([place[n] for n in dst], np.int64)[order]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=len(place)))]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((place, list(place), begin, after))
+    schema = spark.createDataFrame([], f"root {kind}, node {kind}, depth int").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        place, names, begin, after = shared.value
+        every = pa.array(names, arrow.field("node").type)
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                if root not in place:
+                    yield pa.RecordBatch.from_arrays([pa.array([root], arrow.field(0).type), pa.array([root], arrow.field(1).type), pa.array([0], pa.int32())], schema=arrow)
+                    continue
+                depth, level = np.full(len(names), -1, np.int32), 0
+                front = np.array([place[root]])
+                depth[front] = 0
+                while len(front) and (most is None or level < most):
+                    level += 1
+                    n = begin[front + 1] - begin[front]
+                    met = after[np.repeat(begin[front] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                    fresh = np.zeros(len(names), bool)
+                    fresh[met] = True
+                    front = np.flatnonzero(fresh & (depth < 0))
+                    depth[front] = level
+                found = np.flatnonzero(depth >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(found), arrow.field(0).type), every.take(pa.array(found)), pa.array(depth[found])], schema=arrow)
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return cut(roots.select("node").distinct().repartition(tasks, "node").mapInArrow(run, schema))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) over one edge or more, by doubling: each round joins what is known with itself."""
     known = cut(edges.select("src", "dst").distinct())

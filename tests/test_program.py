@@ -226,10 +226,12 @@ def test_components_and_closure(spark, monkeypatch):
     want = {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
     assert {(r.node, r.scc) for r in fixpoint.components(edges).collect()} == want
     dag = edges.where("src < dst")
+    near = sorted(map(tuple, fixpoint.distances(edges, edges.select(F.col("src").alias("node")), 2).collect()))
     high = {(r.node, r.layer) for r in program.import_layers(dag).collect()}
     monkeypatch.setattr(fixpoint, "SMALL_EDGES", 0)  # the rounds that larger graphs take
     assert {(r.node, r.scc) for r in fixpoint.components(edges).collect()} == want
     assert {(r.node, r.layer) for r in program.import_layers(dag).collect()} == high
+    assert sorted(map(tuple, fixpoint.distances(edges, edges.select(F.col("src").alias("node")), 2).collect())) == near
     assert {r.dst for r in fixpoint.closure(edges).where("src = 7").collect()} == {1, 2, 3, 4, 5}
 
 
