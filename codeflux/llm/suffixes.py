@@ -210,8 +210,8 @@ def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarra
     All segments take their steps together: each is parted by its middle member's symbol into smaller, equal and larger
     ones; the equal ones go on with the next symbol. Segments of a few suffixes are sorted by symbol at once. A suffix that
     is alone is in place."""
-    order = np.argsort(group, kind="stable")
-    live = np.arange(len(order))
+    order = np.argsort(group, kind="stable").astype(np.int32)
+    live = np.arange(len(order), dtype=np.int32)
     segment = live.copy()  # the place where each one's segment begins
 
     def part(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,12 +221,12 @@ def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarra
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
         first = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
+        which = np.cumsum(new, dtype=np.int32) - 1
         segment[live] = live[first][which]
         return which, np.diff(np.append(first, len(live)))
 
     which, size = part((group[order],)) if len(order) else (live, live)
-    depth = np.zeros(len(order), np.int64)
+    depth = np.zeros(len(order), np.int16)
     while len(live):
         keep = (size[which] > 1) & (depth[live] < shallow)
         live = live[keep]
@@ -235,11 +235,11 @@ def multikey_quicksort(symbols: np.ndarray, starts: np.ndarray, group: np.ndarra
         own = segment[live]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         size = np.diff(np.append(first, len(live)))
-        which = np.repeat(np.arange(len(first)), size)
+        which = np.repeat(np.arange(len(first), dtype=np.int32), size)
         symbol = symbols[starts[order[live]] + depth[live]].copy().view(">u8").ravel().astype(U)
         pivot = symbol[first + size // 2][which]
         few = (size <= FEW)[which]
-        side = np.where(few, symbol, (symbol > pivot).astype(U) + (symbol >= pivot).astype(U))  # 0 smaller, 1 equal, 2 larger
+        side = np.where(few, symbol, (symbol > pivot).astype(np.uint8) + (symbol >= pivot))  # 0 smaller, 1 equal, 2 larger
         by = np.lexsort((side, which))
         order[live], depth[live] = order[live[by]], depth[live[by]] + np.where(few[by] | (side[by] == 1), 8, 0)
         which, size = part((which[by], side[by]))
@@ -274,7 +274,7 @@ def repeated(data: bytes, starts: np.ndarray, group: np.ndarray, length: int = L
 
 SPANS = "node bigint, low int, high int"
 #: Bytes of contexts that a task sorts at once; a larger group is one such lot by itself.
-LOT = 4 << 20
+LOT = 1 << 20
 
 
 def _sort_groups(length: int):
