@@ -106,6 +106,14 @@ def crc_bucket(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def sample(rows: DataFrame, turn: str, size: Column, most_rows: int, most_bytes: int) -> DataFrame:
+    """The rows whose 64-bit hash ``turn`` is below the part that lets ``most_rows`` rows and ``most_bytes`` bytes be
+    expected; all of them where there are not more. Nothing is sorted and no key is gathered."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("double")), F.lit(0.0))).first()
+    share = min(1.0, most_rows / max(n, 1), most_bytes / max(total, 1.0))
+    return rows if share >= 1 else rows.where(F.col(turn) < int(-(2**63) + share * 2**64))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component being the smallest node that ``edges`` reach.
 

@@ -3,12 +3,14 @@
 Each language gets a codeword; for each bit a binary classifier over hashed byte 1- to 3-grams says how surely the bit
 is set. The codeword with the least loss, each bit weighted by how well its classifier did in training, names the
 language; a text whose two best codewords are close is flagged ambiguous. Codes are all splits of the languages up to 6
-of them, and a fixed pseudo-random code of ``CODE`` bits beyond. Fitted on at most ``MOST_ROWS`` rows for each language;
-all texts are scored whole, where they lie.
+of them, and a fixed pseudo-random code of ``CODE`` bits beyond. Fitted in one task on a sample by the hash of id and text:
+about ``MOST_ROWS`` rows for each language and ``MOST_ALL`` in all are expected of it. All texts are scored whole, where
+they lie.
 
 Defined results: null texts and texts without a letter are `und` with score 0; null languages are not learnt from; with
 one language known every text with a letter is that, with none all are `und`; ties go to the smaller code point; rows
-that repeat are scored alike; other columns are ignored.
+that repeat are learnt from once and scored alike; rows without an id are not learnt from; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, maybe_broadcast
 from .tokens import _LOWER, U, mix, runs, utf8
 
-DIM_BITS, MOST_ROWS, STEPS, CODE = 12, 2_500, 150, 63
+DIM_BITS, MOST_ROWS, MOST_ALL, STEPS, CODE = 12, 2_500, 10_000, 150, 63
 DIM = 1 << DIM_BITS
 AMBIGUOUS = 0.7
 
@@ -107,14 +110,19 @@ def _fit(steps: int):
 
 
 def train(docs: DataFrame, learn: Column, most_rows: int = MOST_ROWS, steps: int = STEPS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, weights and bit weights, from the rows where ``learn``; at most ``most_rows`` of each language."""
-    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    turn = F.xxhash64(F.lit(3), "doc_id")
-    # Only the smallest hashes go to a language's task: each task first keeps its own smallest.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(turn, "doc_id"))
-    chosen = ids.withColumn("place", place).where(F.col("place") <= most_rows).select("doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("lang is not null and text is not null")
-    ready = rows.select("lang", turn.alias("turn"), "text").mapInArrow(_featurize, "lang string, turn bigint, x binary")
+    """Languages, weights and bit weights, from the rows where ``learn``; about ``most_rows`` of each language, fewer where
+    the languages are so many that ``MOST_ALL`` rows would be passed.
+
+    A language's rows are those whose hash is below its own threshold, found by one count: no language is gathered."""
+    turn = F.xxhash64(F.lit(3), "doc_id", "text")
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")))
+    each = min(most_rows, max(1, MOST_ALL // max(counts.count(), 1)))
+    limits = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    below = (F.lit(-(2.0**63)) + F.col("share") * F.lit(2.0**64)).cast("decimal(38,0)")
+    chosen = known.withColumn("turn", turn).join(maybe_broadcast(limits), "lang").where((F.col("share") >= 1) | (F.col("turn") < below))
+    rows = chosen.select("lang", "text", "turn").distinct()
+    ready = rows.select("lang", "turn", "text").mapInArrow(_featurize, "lang string, turn bigint, x binary")
     found = ready.repartition(1).mapInArrow(_fit(steps), "names array<string>, weights binary, trust array<double>").collect()
     if not found or not found[0].names:
         return [], np.zeros((DIM + 1, 1), np.float32), np.ones(1)

@@ -1,18 +1,19 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives and unlabelled texts are all that is learnt from; negatives are never shown. A first linear model
-parts positives from unlabelled texts and gives the class prior: of all sets {score at least t} the one where
-unlabelled texts are rarest beside positives bounds the share of positives among the unlabelled. The second minimises
+parts positives from unlabelled texts; it scores every document of the table, and the histogram of these scores gives the
+class prior: of all sets {score at least t} the one where documents are rarest beside positives bounds the share of
+positives among all. The second minimises
 prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]) by gradient steps with logistic loss; where the
 bracket is negative the step goes the other way, which keeps the risk from falling below zero by overfitting.
 
 Features are how often each hashed word shape occurs (letters, capitals and digits folded, other signs kept), alone and
-in pairs (which also tell whether the word is the same). Fitted on at most ``MOST_ROWS`` rows of each kind; all texts are
-scored whole, where they lie.
+in pairs (which also tell whether the word is the same). Fitted in one task on samples by hash, of which about
+``MOST_ROWS`` positives and as many unlabelled rows are expected; all texts are scored whole, where they lie.
 
-Defined results: null and empty texts have no features and get the bias alone; null labels are not learnt from; without
-positives every score is 0.5; rows that repeat are scored alike; other columns are kept by ``keep_good``, and ignored
-elsewhere.
+Defined results: null and empty texts have no features and get the bias alone; null labels and rows without an id are not
+learnt from; without positives every score is 0.5; rows that repeat are learnt from once and scored alike; an empty table
+gives an empty result; other columns are kept by ``keep_good``, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialize, maybe_broadcast, sample
 from .tokens import SPACE, U, mix, runs, utf8, words
 
 DIM_BITS, MOST_ROWS, STEPS = 9, 6_000, 300
@@ -91,53 +92,95 @@ class _Adam:
         self.w -= np.float32(self.rate) * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8).astype(np.float32)
 
 
-def prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
-    """Share of positives among the unlabelled, from scores of both."""
+def prior(positive: np.ndarray, below: np.ndarray, counts: np.ndarray, least: float = 0.1) -> float:
+    """Share of positives among all: from the positives' scores, and how many documents score in each bin from ``below``."""
     cuts = np.quantile(positive, np.linspace(0.0, 1 - least, 40))
-    ratios = [(unlabelled >= t).mean() / max((positive >= t).mean(), 1e-9) for t in cuts]
+    above = np.append(np.cumsum(counts[::-1])[::-1], 0) / max(counts.sum(), 1)
+    ratios = [above[np.searchsorted(below, t, "left")] / max((positive >= t).mean(), 1e-9) for t in cuts]
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights (the last is the bias) and the prior used."""
+def parting(p: np.ndarray, u: np.ndarray, steps: int, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic model of positives against unlabelled rows."""
     p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
     both = _Adam(p.shape[1], rate)
-    for _ in range(steps // 2):
+    for _ in range(steps):
         both.step(-p.T @ (1 - _sigmoid(p @ both.w)) / len(p) + u.T @ _sigmoid(u @ both.w) / len(u) + decay * both.w)
-    share = prior(p @ both.w, u @ both.w)
+    return both.w
+
+
+def nnpu(p: np.ndarray, u: np.ndarray, share: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) that minimise the non-negative risk at a prior of ``share``."""
+    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
     model = _Adam(p.shape[1], rate)
     for _ in range(steps):
-        sp, su = _sigmoid(p @ model.w), _sigmoid(u @ model.w)
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + share * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        rest = u.T @ su / len(u) - share * (p.T @ sp) / len(p)
-        pull = -share * (p.T @ (1 - sp)) / len(p)
-        model.step((pull + rest if negative >= 0 else -rest) + decay * model.w)
-    return model.w, share
+        model.step(risk_gradient(model.w, p, u, share) + decay * model.w)
+    return model.w
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, share: float) -> np.ndarray:
+    """The step of the non-negative risk: its gradient, or that of the bracket turned round where the bracket is negative."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + share * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
+    rest = u.T @ su / len(u) - share * (p.T @ sp) / len(p)
+    return -share * (p.T @ (1 - sp)) / len(p) + rest if negative >= 0 else -rest
+
+
+def _rows(batches) -> tuple[np.ndarray, np.ndarray]:
+    held = {True: [], False: []}
+    for batch in batches:
+        for positive, turn, x in zip(*(batch.column(c).to_pylist() for c in ("positive", "turn", "x"))):
+            held[positive].append((turn, x))
+    return tuple(np.array([np.frombuffer(x, np.float16) for _, x in sorted(held[k])], np.float32).reshape(-1, DIM) for k in (True, False))
 
 
-def _fit(steps: int):
+def _first(steps: int):
+    """The parting model, and the margins it gives the positives."""
+
     def run(batches):
-        rows = {True: [], False: []}
-        for batch in batches:
-            for positive, turn, x in zip(*(batch.column(c).to_pylist() for c in ("positive", "turn", "x"))):
-                rows[positive].append((turn, x))
-        p, u = (np.array([np.frombuffer(x, np.float16) for _, x in sorted(rows[k])], np.float32).reshape(-1, DIM) for k in (True, False))
-        w, share = nnpu(p, u, steps) if len(p) and len(u) else (np.zeros(DIM + 1), 0.5)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([share])], ["weights", "prior"])
+        p, u = _rows(batches)
+        w = parting(p, u, steps) if len(p) and len(u) else np.zeros(DIM + 1, np.float32)
+        margins = p @ w[:-1] + w[-1] if len(p) else np.zeros(0)
+        kind = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(float).tolist()], kind), pa.array([margins.astype(float).tolist()], kind)], ["weights", "margins"])
 
     return run
 
 
+def _second(steps: int, share: float):
+    def run(batches):
+        p, u = _rows(batches)
+        w = nnpu(p, u, share, steps) if len(p) and len(u) else np.zeros(DIM + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(w, float).tolist()], pa.list_(pa.float64()))], ["weights"])
+
+    return run
+
+
+#: Bins of a score, for the histogram of all documents.
+BINS = 4096
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_rows: int = MOST_ROWS, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and the class prior. ``learn``: which label rows to learn from; of them only positives are used."""
     known = labels.where(learn & (F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    any_ = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(most_rows).distinct()
-    chosen = known.withColumn("positive", F.lit(True)).unionByName(any_.withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "positive", F.xxhash64("doc_id").alias("turn"))
-    ready = rows.mapInArrow(_featurize, "positive boolean, turn bigint, x binary")
-    found = ready.repartition(1).mapInArrow(_fit(steps), "weights array<double>, prior double").collect()
-    return (np.array(found[0].weights, np.float32), found[0].prior) if found else (np.zeros(DIM + 1, np.float32), 0.5)
+    known = sample(known.withColumn("h", F.xxhash64("doc_id")), "h", F.lit(16), most_rows, 1 << 62).drop("h")
+    mine = docs.where("doc_id is not null").select("doc_id", "text")
+    turn = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "text")
+    good = mine.join(maybe_broadcast(known), "doc_id").select("text", turn(1).alias("turn"), F.lit(True).alias("positive"))
+    rest = mine.select("text", turn(2).alias("turn"), F.lit(False).alias("positive"))
+    rows = sample(good, "turn", F.lit(1), most_rows, 1 << 62).unionByName(sample(rest, "turn", F.lit(1), most_rows, 1 << 62)).distinct()
+    ready = materialize(rows.mapInArrow(_featurize, "positive boolean, turn bigint, x binary"), "none").repartition(1)
+    first = ready.mapInArrow(_first(steps // 2), "weights array<double>, margins array<double>").first()
+    if first is None or not first.margins:
+        return np.zeros(DIM + 1, np.float32), 0.5
+    scores = score(docs, np.array(first.weights, np.float32))
+    bins = scores.groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    counts = np.zeros(BINS)
+    for b in bins:
+        counts[b.bin] = b.n
+    share = prior(_sigmoid(np.array(first.margins)), np.arange(BINS) / BINS, counts)
+    found = ready.mapInArrow(_second(steps, share), "weights array<double>").first()
+    return np.array(found.weights, np.float32), share
 
 
 def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str, score: str) -> DataFrame:
