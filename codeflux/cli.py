@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codeflux.functions import refs
 from codeflux.functions.fixpoint import cut
-from codeflux.operators import analysis, exceptions, passes, program
+from codeflux.operators import analysis, exceptions, passes, program, reports
 from codeflux.sources import facts
 
 
@@ -173,10 +173,23 @@ COMMANDS = {
     "catches": lambda t, x: exceptions.handlers(exceptions.analyze(t.fns)).orderBy("fq", "line"),
     "dominators": lambda t, x: analysis.relation(t.fns, "dom").select("fq", F.col("a").alias("block"), F.col("b").alias("dominator")),
     "census": lambda t, x: analysis.census(t.fns),
+    "summary": lambda t, x: reports.program_report(t.modules, t.fns),
+    "tree": lambda t, x: reports.call_tree(t.edges(), facts.named(t.fns, x.focus).select("fq"), x.depth, x.sharp),
+    "cell": lambda t, x: reports.cell_dossier(t.modules, t.fns, x.focus),
     "errors": lambda t, x: facts.parse_errors(t.modules),
 }
 
 
+#: How rows become lines of text.
+TEXT = {
+    "cfg": lambda t, x, rows: reports.block_lines(t.fns).orderBy("fq", "pos"),
+    "walk": lambda t, x, rows: reports.walk_lines(rows).orderBy("fq", "start", "step"),
+    "slice": lambda t, x, rows: reports.walk_lines(rows).orderBy("fq", "start", "step"),
+    "classes": lambda t, x, rows: reports.tree_lines(reports.class_tree(rows)).orderBy("path"),
+    "opportunities": lambda t, x, rows: reports.finding_lines(rows),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeflux", description=__doc__)
     p.add_argument("command", choices=sorted(COMMANDS))
@@ -196,11 +209,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--line", type=int, help="line of a file, for at")
     p.add_argument("--only", help="passes to run, comma-separated")
     p.add_argument("--top", type=int, default=60)
+    p.add_argument("--sharp", action="store_true", help="leave out calls that rest on a name alone")
+    p.add_argument("--text", action="store_true", help="lines of text instead of JSON, for " + ", ".join(TEXT))
     p.add_argument("--implicit", action="store_true", help="count what subscripts and attributes may raise")
     return p
 
 
-NEEDS = {"walk": ["source"], "slice": ["source"], "paths": ["source", "goal"], "trace": ["var"], "at": ["line"], "verify": ["old"]}
+NEEDS = {"tree": ["focus"], "cell": ["focus"], "walk": ["source"], "slice": ["source"], "paths": ["source", "goal"], "trace": ["var"], "at": ["line"], "verify": ["old"]}
 
 
 def main(args: list[str] | None = None) -> int:
@@ -213,7 +228,12 @@ def main(args: list[str] | None = None) -> int:
     x.depth = x.depth or {"impact": 4, "trace": 6}.get(x.command, 3)
     spark = SparkSession.builder.appName("codeflux").getOrCreate()
     try:
-        rows = COMMANDS[x.command](Target(spark, x.target, x.exclude_tests), x)
+        target = Target(spark, x.target, x.exclude_tests)
+        rows = COMMANDS[x.command](target, x)
+        if x.text and x.command in TEXT:
+            for row in TEXT[x.command](target, x, rows).select("text").toLocalIterator():
+                print(row.text)
+            return 0
         if x.out:
             rows.write.mode("overwrite").json(x.out)
         else:

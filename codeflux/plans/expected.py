@@ -748,3 +748,131 @@ IMPORTS = [
     ('pkg/core.py:', None, 'json', False),
     ('pkg/late.py:', 'pkg/core.py', 'pkg.core', False),
 ]
+
+TREES = [
+    (0, 'SELF', 0, ''),
+    (1, 'SELF', 0, ''),
+    (1, 'SELF > FILE:tidy', 1, ''),
+    (1, 'SELF > pkg/core.py:check', 1, ''),
+    (1, 'SELF > pkg/core.py:check > pkg/core.py:size', 2, ''),
+    (1, 'SELF > pkg/core.py:log', 1, ''),
+    (2, 'SELF', 0, ''),
+    (3, 'SELF', 0, ''),
+    (4, 'SELF', 0, ''),
+    (5, 'SELF', 0, ''),
+    (6, 'SELF', 0, ''),
+    (6, 'SELF > pkg/core.py:check', 1, ''),
+    (6, 'SELF > pkg/core.py:check > pkg/core.py:size', 2, ''),
+    (7, 'SELF', 0, ''),
+    (7, 'SELF > pkg/core.py:check', 1, ''),
+    (7, 'SELF > pkg/core.py:check > pkg/core.py:size', 2, ''),
+    (8, 'SELF', 0, ''),
+    (9, 'SELF', 0, ''),
+    (9, 'SELF > FILE:Store.get', 1, ''),
+    (10, 'SELF', 0, ''),
+    (11, 'SELF', 0, ''),
+    (11, 'SELF > FILE:Service.put', 1, 'ambiguous'),
+    (11, 'SELF > FILE:Store.put', 1, 'ambiguous'),
+]
+
+FOOTPRINTS = [
+    (11, 'FILE:GLOBAL:LIMIT', ''),
+    (':Service.drop', '', 'FILE:GLOBAL:LIMIT FILE:Service.last'),
+    (':Service.put', '', 'FILE:Service.count'),
+    (':Store.__init__', '', 'FILE:Store.items'),
+    (':Store.get', 'FILE:Store.items', ''),
+    (':Store.put', 'FILE:Store.items', 'FILE:Store.last'),
+]
+
+CLASS_TREES = [
+    (':', 'FILE:Store', False),
+    (':', 'FILE:Store > FILE:Service', False),
+]
+
+HINTS = [
+    (4, 0, 'SELF:op:2', 'show SELF'),
+    (5, 0, 'SELF:op:2', 'dataflow SELF'),
+    (5, 1, 'SELF:op:9', 'walk SELF --from SELF:op:9 --direction backward'),
+    (8, 0, 'SELF:op:1', 'slice SELF --from SELF:op:1'),
+    (8, 1, 'SELF:op:2', 'slice SELF --from SELF:op:2'),
+    (8, 2, 'SELF:op:3', 'slice SELF --from SELF:op:3'),
+    (8, 3, 'SELF:op:4', 'slice SELF --from SELF:op:4'),
+    (9, 0, 'SELF:op:3', 'show SELF'),
+    (9, 1, 'SELF:op:3', 'show SELF'),
+    (10, 0, 'SELF:op:5', 'cfg SELF'),
+    (10, 1, 'SELF:op:3', 'slice SELF --from SELF:op:3'),
+    (10, 2, 'SELF:op:4', 'slice SELF --from SELF:op:4'),
+]
+
+MODULE_REPORTS = [
+    (':', 2, '', 0),
+    ('pkg/__init__.py:', 0, '', 0),
+    ('pkg/core.py:', 1, '', 0),
+    ('pkg/late.py:', 1, '', 0),
+]
+
+BLOCK_TEXTS = [
+    (0, 0, 'bb0: op0:assign x,y; op1:branch  <- x ->bb1 ->bb2'),
+    (0, 1, 'bb1: op2:assign z ->bb3'),
+    (0, 2, 'bb2: op3:branch  <- y ->bb4 ->bb5'),
+    (0, 3, 'bb3: op6:return  <- z end'),
+    (0, 4, 'bb4: op4:assign z ->bb3'),
+    (0, 5, 'bb5: op5:assign z ->bb3'),
+    (1, 0, 'bb0: op0:assign path; op1:assign data ->bb1'),
+    (1, 1, 'bb1: op2:assign data <- open,path ->bb4 ~>bb2 ~>bb3 ~>bb5'),
+    (1, 2, 'bb2 (handler): op3:enter_except ; op4:assign err; op5:call  <- log,err; op6:raise  ~>bb5'),
+    (1, 3, 'bb3 (handler): op7:enter_except ; op8:return  ~>bb5'),
+    (1, 4, 'bb4: op9:call  <- check,data ->bb5'),
+    (1, 5, 'bb5 (finally): op10:enter_finally ; op11:call  <- tidy,path; op12:exit_finally  ->bb6'),
+    (1, 6, 'bb6: op13:return  <- data end'),
+    (2, 0, 'bb0: op0:assign lock,items; op1:assign total; op2:enter_with held <- lock ->bb1'),
+    (2, 1, 'bb1: op3:other  <- items ->bb2'),
+    (2, 2, 'bb2: op4:branch  ->bb3 ->bb5'),
+    (2, 3, 'bb3: op5:assign item; op6:branch  <- item ->bb6 ->bb7'),
+    (2, 4, 'bb5: op9:assign total <- total,held ->bb8'),
+    (2, 5, 'bb6: op7:branch  ->bb2'),
+    (2, 6, 'bb7: op8:assign total <- total,item ->bb2'),
+    (2, 7, 'bb8 (finally): op10:exit_with ; op11:return  <- total end'),
+    (3, 0, 'bb0: op0:assign msg; op1:branch  <- msg ->bb2 ->bb3'),
+    (3, 1, 'bb1: op6:return  <- out end'),
+    (3, 2, 'bb2: op2:branch steps <- steps; op3:assign out <- steps ->bb1'),
+    (3, 3, 'bb3: op4:branch ; op5:assign out ->bb1'),
+    (4, 0, 'bb0: op0:assign a,b,c; op1:assign base <- a,b; op2:assign inner <- b,base,c; op3:return  <- inner end'),
+    (5, 0, 'bb0: op0:assign n,debug; op1:assign quiet; op2:branch  <- quiet ->bb1 ->bb3'),
+    (5, 1, 'bb1: op3:assign n <- n ->bb3'),
+    (5, 2, 'bb3: op4:branch  <- n ->bb4 ->bb5'),
+    (5, 3, 'bb4: op5:assign n <- n; op6:branch  <- n ->bb6 ->bb3'),
+    (5, 4, 'bb5: op8:branch  <- debug ->bb8 ->bb9'),
+    (5, 5, 'bb6: op7:branch  ->bb5'),
+    (5, 6, 'bb8: op9:branch  <- debug ->bb10 ->bb9'),
+    (5, 7, 'bb9: op11:return  <- n end'),
+    (5, 8, 'bb10: op10:assign n ->bb9'),
+    (6, 0, 'bb0: op0:assign value; op1:branch  <- value ->bb1 ->bb2'),
+    (6, 1, 'bb1: op2:raise  <- ValueError,value end'),
+    (6, 2, 'bb2: op3:return  <- check,value end'),
+    (7, 0, 'bb0: op0:assign value ->bb1'),
+    (7, 1, 'bb1: op1:return  <- check,value ~>bb2'),
+    (7, 2, 'bb2 (handler): op2:enter_except ; op3:other  ->bb3'),
+    (7, 3, 'bb3: op4:return  end'),
+    (8, 0, 'bb0: op0:assign box,extra; op1:assign  <- extra,box; op2:call  <- box.append,box,extra; op3:delete  <- box; op4:assign extra.name <- extra; op5:return  end'),
+    (9, 0, 'bb0: op0:assign rec; op1:assign name <- rec; op2:assign size <- rec.get,rec; op3:return  <- name,size end'),
+    (10, 0, 'bb0: op0:assign flag; op1:branch  <- flag ->bb1 ->bb2'),
+    (10, 1, 'bb1: op2:assign found ->bb2'),
+    (10, 2, 'bb2: op3:call  <- print,found; op4:return  <- found end'),
+    (10, 3, 'bb3: op5:call  <- print,flag; op6:return  end'),
+    (11, 0, 'bb0: op0:assign svc; op1:assign s <- Service,svc; op2:call  <- s.put,s,svc; op3:assign t <- s,LIMIT; op4:return  <- svc,t end'),
+    ('4.inner', 0, 'bb0: op0:assign k; op1:return  <- k,base,b,c end'),
+    (':Service.drop', 0, 'bb0: op0:assign self; op1:other ; op2:other ; op3:assign LIMIT; op4:assign self.last <- again,self; op5:return  end'),
+    (':Service.put', 0, 'bb0: op0:assign self,item; op1:call  <- super().put,super,item; op2:call  <- core.size,core,item; op3:assign self.count <- item,self; op4:return  end'),
+    (':Store.__init__', 0, 'bb0: op0:assign self,items; op1:assign self.items <- items,self; op2:return  end'),
+    (':Store.get', 0, 'bb0: op0:assign self; op1:return  <- self.items,self end'),
+    (':Store.put', 0, 'bb0: op0:assign self,item; op1:call  <- self.items.append,self.items,self,item; op2:assign self.last <- item,self; op3:return  end'),
+    (':tidy', 0, 'bb0: op0:assign path; op1:call  <- os.remove,os,path; op2:return  end'),
+    ('pkg/core.py:check', 0, 'bb0: op0:assign value; op1:branch  <- value ->bb1 ->bb2'),
+    ('pkg/core.py:check', 1, 'bb1: op2:raise  <- KeyError,value end'),
+    ('pkg/core.py:check', 2, 'bb2: op3:return  <- size,value end'),
+    ('pkg/core.py:log', 0, 'bb0: op0:assign err; op1:other ; op2:call  <- print,err; op3:call  <- json.dumps,json,err,again; op4:return  end'),
+    ('pkg/core.py:size', 0, 'bb0: op0:assign value; op1:return  <- len,value end'),
+    ('pkg/late.py:again', 0, 'bb0: op0:return  <- later end'),
+    ('pkg/late.py:later', 0, 'bb0: op0:return  <- again end'),
+]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeflux.functions.fixpoint import cut
-from codeflux.operators import analysis, exceptions, program
+from codeflux.operators import analysis, exceptions, program, reports
 from codeflux.plans import expected as X
 from codeflux.plans.templates import expected, template_source
 from codeflux.sources import facts
@@ -208,3 +208,44 @@ def deferred_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["deferred_cycles"], ORACLES["deferred_cycles"] = deferred_cycles, "select 'pkg/core.py' as src, 'pkg/late.py' as dst"
 QUERIES["external_roots"], ORACLES["external_roots"] = external_roots, _external_sql()
+
+
+@query("call_trees", X.TREES, "path, depth, note", "varchar, int, varchar")
+def call_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order's function calls, three calls deep."""
+    modules, fns = _program(spark, sf_dir)
+    edges = program.call_graph(program.sites_of(program.evidence(modules, fns)))
+    tree = reports.call_tree(edges, fns.where("simple rlike '^f[0-9]+$'").select("fq"))
+    return tree.select(F.col("root").alias("fq"), F.array_join("path", " > ").alias("path"), "depth", "note")
+
+
+@query("function_footprints", X.FOOTPRINTS, "reads, writes", "varchar, varchar")
+def function_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.footprints(program.state_accesses(*_program(spark, sf_dir)))
+    return found.select("fq", _text("reads"), _text("writes"))
+
+
+@query("class_trees", X.CLASS_TREES, "path, again", "varchar, boolean")
+def class_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = reports.class_tree(program.class_forest(cut(_modules(spark, sf_dir)))[0])
+    return tree.select(F.concat(F.element_at(F.split(F.element_at("path", 1), ":"), 1), F.lit(":")).alias("fq"), F.array_join("path", " > ").alias("path"), "again")
+
+
+@query("finding_hints", X.HINTS, "emit, ref, verify", "int, varchar, varchar")
+def finding_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address of each finding's operation and the command that shows what it rests on."""
+    return reports.with_hints(analysis.findings(_functions(spark, sf_dir))).select("fq", "emit", "ref", "verify")
+
+
+@query("module_reports", X.MODULE_REPORTS, "fan_out, work, call_assigns", "int, varchar, int")
+def module_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every module depends on, and what it does when it is imported."""
+    found = reports.import_report(cut(_modules(spark, sf_dir)))
+    return found.select(F.concat("relpath", F.lit(":")).alias("fq"), F.col("fan_out").cast("int").alias("fan_out"), _text("work"), "call_assigns")
+
+
+@query("block_texts", X.BLOCK_TEXTS, "pos, text", "int, varchar")
+def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block as a line of text, without its line numbers."""
+    found = reports.block_lines(_functions(spark, sf_dir))
+    return found.select("fq", "pos", F.regexp_replace("text", r" L\d+-\d+:", ":").alias("text"))

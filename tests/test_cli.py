@@ -105,3 +105,9 @@ def test_live_modules_are_found_not_imported(run):
 
 def test_exit_codes(run):
     assert run("metrics", "none.py")[0] == 2 and run("metrics", "kitchen.py:nothing")[0] == 2 and run("metrics", "bad.py")[0] == 4
+
+
+def test_lines_of_text(run, tree, capsys):
+    assert cli.main(["cfg", f"{tree}/kitchen.py:brew", "--text"]) == 0
+    assert capsys.readouterr().out.startswith("bb0 L")
+    assert run("summary")[1] and run("tree", "kitchen.py", "--focus", "breakfast")[1] and run("cell", "kitchen.py", "--focus", "water")[1]
