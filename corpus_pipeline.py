@@ -2,7 +2,12 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each
 stage's result to the shared folder as Parquet and reads it again as the next one's input. All stages but the last return
-the columns of their input; the last adds how many words of a document, and how many copies, the mix takes.
+the columns of their input, whatever else it has; the last adds how many words of a document, and how many copies, the mix
+takes.
+
+Defined results of every stage: an empty table gives an empty result; a null text counts as an empty one and stays null; a
+null doc_id is an id like any other, but near duplicates are never sought for it; a null source is a source of its own.
+Rows that repeat whole share a fate in every stage but the second, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -15,14 +20,15 @@ from codeflux.llm.common import crc_bucket, materialize, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model scores below its threshold go."""
+    """Documents that the quality model scores below its threshold go; one at the threshold stays. Without labels all stay."""
     learn = crc_bucket(F.col("doc_id"), 5) != 0
     weights, _ = quality.train(docs, table(spark, sf_dir, "labels"), "quality", learn)
     return quality.keep_good(docs, weights)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that with the smallest id, and
+    of rows with one id and text an arbitrary one. Documents without words are no duplicates."""
     return jaccard.keep_one(docs, k=5, pct=80)
 
 
@@ -32,7 +38,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; where spans overlap, by the kind of the first."""
     return pii.mask(docs)
 
 
