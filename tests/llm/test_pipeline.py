@@ -33,3 +33,21 @@ def test_planted_cases(spark, docs):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert {"doc_id", "text", "mix_words", "mix_copies"} <= set(out.columns) and 0 < out.count() <= 200
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_bear_awkward_rows(spark, docs, prose, name):
+    """Nulls in every column, ties, repeated rows, long texts, clashing names and empty tables."""
+    long = " ".join(f"w{i}" for i in range(20_000))
+    texts = [prose(40, 1), prose(40, 1), None, "", long, prose(30, 2)]
+    frame = docs(texts, ids=[1, 1, 2, None, 3, None], langs=["en", "en", None, "de", "en", None], sources=["a", "a", None, "b", "a", "b"])
+    out = dict(pipeline.STAGES)[name](spark, frame, SF)
+    rows = out.collect()
+    assert set(frame.columns) <= set(out.columns) and len(rows) <= 6
+    if name == "jaccard_join":
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "None", "None"]
+    if name in ("decontamination", "pii"):
+        assert sorted(str(r.text) for r in rows) == sorted(map(str, texts))
+    if name == "source_mixing":
+        assert all(r.mix_copies >= 1 for r in rows)
+    assert dict(pipeline.STAGES)[name](spark, frame.limit(0), SF).count() == 0
