@@ -132,7 +132,7 @@ class Facts:
                 out.setdefault(d, []).append(u)
         return out
 
-    @property
+    @cached_property
     def metrics(self) -> dict[str, int]:
         return _Metrics(self)
 
