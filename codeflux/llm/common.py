@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 #: Most rows and bytes of a small side that may be broadcast; beyond them operators let Spark shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 48 << 20
 
+#: Most rows and bytes of a batch between Spark and a Python worker.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,10 +37,25 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "codeflux-" + uuid.uuid4().hex)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While it holds, rows go to Python workers in batches of a few megabytes: texts may be long, and a task holds a batch
+    several times over, within and without the heap."""
+    before = {k: spark.conf.get(k) for k in ARROW}
+    try:
+        for k, v in ARROW.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``materialize`` that nothing reads any more."""
     for df in tables:

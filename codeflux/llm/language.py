@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, maybe_broadcast, small_batches
 from .tokens import _LOWER, U, mix, runs, utf8
 
 DIM_BITS, MOST_ROWS, MOST_ALL, STEPS, CODE = 12, 2_500, 10_000, 150, 63
@@ -123,7 +123,8 @@ def train(docs: DataFrame, learn: Column, most_rows: int = MOST_ROWS, steps: int
     chosen = known.withColumn("turn", turn).join(maybe_broadcast(limits), "lang").where((F.col("share") >= 1) | (F.col("turn") < below))
     rows = chosen.select("lang", "text", "turn").distinct()
     ready = rows.select("lang", "turn", "text").mapInArrow(_featurize, "lang string, turn bigint, x binary")
-    found = ready.repartition(1).mapInArrow(_fit(steps), "names array<string>, weights binary, trust array<double>").collect()
+    with small_batches(docs.sparkSession):
+        found = ready.repartition(1).mapInArrow(_fit(steps), "names array<string>, weights binary, trust array<double>").collect()
     if not found or not found[0].names:
         return [], np.zeros((DIM + 1, 1), np.float32), np.ones(1)
     trust = np.array(found[0].trust)

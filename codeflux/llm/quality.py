@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, maybe_broadcast, sample
+from .common import free_name, materialize, maybe_broadcast, sample, small_batches
 from .tokens import SPACE, U, mix, runs, utf8, words
 
 DIM_BITS, MOST_ROWS, STEPS = 9, 6_000, 300
@@ -174,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_ro
     if first is None or not first.margins:
         return np.zeros(DIM + 1, np.float32), 0.5
     scores = score(docs, np.array(first.weights, np.float32))
-    bins = scores.groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    bin_ = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    with small_batches(docs.sparkSession):
+        bins = scores.groupBy(bin_).agg(F.count("*").alias("n")).collect()
     counts = np.zeros(BINS)
     for b in bins:
         counts[b.bin] = b.n

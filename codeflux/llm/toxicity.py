@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, sample
+from .common import maybe_broadcast, sample, small_batches
 from .tokens import BREAK, U, mix, runs, utf8, words
 
 BUCKET_BITS, MOST_ROWS, MOST_BYTES, EPOCHS = 20, 20_000, 64 << 20, 8
@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_ro
     # an id may stand for any number of rows
     rows = sample(rows, "turn", F.coalesce(F.octet_length("text"), F.lit(0)), most_rows, most_bytes).distinct()
     ready = rows.mapInArrow(_featurize, "label int, turn bigint, features array<int>")
-    found = ready.repartition(1).mapInArrow(_fit(epochs), "bucket bigint, weight double").collect()
+    with small_batches(docs.sparkSession):
+        found = ready.repartition(1).mapInArrow(_fit(epochs), "bucket bigint, weight double").collect()
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     for r in found:
         if r.bucket >= 0:
