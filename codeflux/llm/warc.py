@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, small
 
 LEAST_BYTES = 100
 FRAME_BYTES, FRAME_RECORDS, BUNDLE_BYTES = 256 << 10, 64, 8 << 20
@@ -47,7 +47,12 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     groups = slim.where(f"n >= {least}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
     shared = materialize(groups.where("rows > 1").select("digest", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = slim.join(maybe_broadcast(shared, 200_000), "digest", "left")
+    if small(shared):
+        joined = slim.join(F.broadcast(shared), "digest", "left")
+    else:  # ids meet the digests without their pages, so a page that very many share is no hot key
+        marks = slim.select("page_id", "digest").join(shared, "digest").where(revisit).distinct().alias("m")
+        on = F.col("s.page_id").eqNullSafe(F.col("m.page_id")) & (F.col("s.digest") == F.col("m.digest"))
+        joined = slim.alias("s").join(marks, on, "left").select("s.page_id", "url", "html", "s.digest", "first")
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("first"))
 
 
@@ -208,12 +213,24 @@ def lookup(bundles: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def export(bundles: DataFrame, folder: str) -> None:
-    """Writes each bundle as a file of ``folder``, which all executors must share; a repeated task replaces its files."""
+    """Writes each bundle as a file of ``folder``, a path or address that all executors reach (also of an object store); a
+    repeated task replaces its files."""
+    address = folder if "://" in folder else "file://" + os.path.abspath(folder)
 
     def save(rows):
+        from pyarrow.fs import FileSystem
+
+        fs, base = FileSystem.from_uri(address)
         for r in rows:
-            with open(tmp := os.path.join(folder, f".{r.bundle}.{TaskContext.get().taskAttemptId()}"), "wb") as f:
+            tmp = f"{base}/.{r.bundle}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(tmp) as f:
                 f.write(r.data)
-            os.replace(tmp, os.path.join(folder, r.bundle))
+            fs.move(tmp, f"{base}/{r.bundle}")
 
     bundles.select("bundle", "data").foreachPartition(save)
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """bundle, data of the files that ``export`` wrote, for ``read_archives``."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), F.col("content").alias("data"))

@@ -219,8 +219,10 @@ def test_top_k_of_large_norms_and_one_crowded_cell(spark):
         assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want]
 
 
-def test_archives_round_trip(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("few", [True, False])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(warc, "FRAME_RECORDS", 3)
+    monkeypatch.setattr(warc, "small", lambda df: few)
     long = "<p>é " * 50
     rows = [(5, "u5", long), (2, "u2", long), (9, "u\r\n%0A", long + "!"), (1, None, None), (3, "u3", ""), (4, "u4", "short"), (6, "u6", "short"), (2, "u2", long), (None, "n", long), (7, "u7", "x\r\n\r\ny" * 30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
@@ -237,4 +239,8 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     warc.export(bundles, str(tmp_path))
     files = sorted(tmp_path.iterdir())
     assert files and all(sum(n for _, n, _ in warc.frames(f.read_bytes())) < f.stat().st_size for f in files)
+    again = warc.read_archives(warc.load(spark, str(tmp_path))).drop("payload").collect()
+    assert sorted(map(str, again)) == sorted(map(str, warc.read_archives(bundles).drop("payload").collect()))
+    big = spark.createDataFrame([(i, "u", "y" * 3_000_000) for i in range(2)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archives(warc.write_archives(big)).collect()) == [(0, 3_000_000, "response"), (1, 3_000_000, "revisit")]
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
