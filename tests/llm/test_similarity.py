@@ -244,3 +244,20 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch, few):
     big = spark.createDataFrame([(i, "u", "y" * 3_000_000) for i in range(2)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archives(warc.write_archives(big)).collect()) == [(0, 3_000_000, "response"), (1, 3_000_000, "revisit")]
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_sets_of_a_batch_take_little_memory():
+    """The batch of a Python worker is 4 MB; what is held beside it follows the run of rows, not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(600)) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], ["node", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(len(sets) for _, sets in jaccard._sets([batch], 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1000 and batch.nbytes > 4 << 20 and peak < 24 << 20
