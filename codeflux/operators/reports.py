@@ -182,8 +182,25 @@ def program_report(modules: DataFrame, fns: DataFrame) -> DataFrame:
 # text -----------------------------------------------------------------------------------------------------------------
 
 
-def block_lines(fns: DataFrame) -> DataFrame:
+def _block_parts(f: dict):
+    """pos, head, line_lo, line_hi, rest of the lines that ``block_lines`` makes."""
+    body, out = {}, {}
+    for o in f["ops"]:
+        body.setdefault(o["block_id"], []).append(" ".join([f"op{o['op_id']}:{o['kind']}", ",".join(o["targets"]), *(["<- " + ",".join(o["uses"])] if o["uses"] else [])]))
+    for e in f["edges"]:
+        out.setdefault(e["src"], []).append(f"{'~>' if e['kind'] == 'e' else '->'}bb{e['dst']}")
+    for b in f["blocks"]:
+        n = b["block_id"]
+        if n in body or n in out:
+            note = " (handler)" if b["is_handler"] else " (finally)" if b["is_finally"] else ""
+            yield b["pos"], f"bb{n}{note}", b["line_lo"], b["line_hi"], f"{'; '.join(body.get(n, ()))} {' '.join(out.get(n, ())) or 'end'}"
+
+
+def block_lines(fns: DataFrame | facts.Program) -> DataFrame:
     """fq, pos, text: each block with its lines, what it does and where it leads; passages without source are left out."""
+    if isinstance(fns, facts.Program):
+        parts = fns.each("pos int, head string, line_lo int, line_hi int, rest string", _block_parts, ("line_lo", "line_hi"))
+        return parts.select("fq", "pos", F.concat("head", F.lit(" L"), "line_lo", F.lit("-"), "line_hi", F.lit(": "), "rest").alias("text"))
     ops = fns.select("fq", F.explode("ops").alias("o")).select("fq", "o.block_id", "o.op_id", F.concat_ws(" ", F.concat(F.lit("op"), F.col("o.op_id"), F.lit(":"), F.col("o.kind")), F.array_join("o.targets", ","), F.when(F.size("o.uses") > 0, F.concat(F.lit("<- "), F.array_join("o.uses", ",")))).alias("t"))
     body = ops.groupBy("fq", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_id", "t"))), lambda x: x["t"]), "; ").alias("body"))
     way = F.concat(F.when(F.col("kind") == "e", "~>").otherwise("->"), F.lit("bb"), F.col("dst"))
