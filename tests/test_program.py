@@ -264,3 +264,19 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert sorted(r.relpath for r in found.select("relpath").collect()) == ["pkg/a.py", "pkg/latin.py"]
     lowered = facts.lower(found)
     assert facts.parse_errors(lowered).count() == 0 and analysis.metrics(facts.functions(lowered)).count() == 1
+
+
+def test_pairs_of_one_large_cycle_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "PAIRS", 400)
+    ring = spark.createDataFrame([(i, (i + 1) % 60) for i in range(60)] + [(60, 0)], "src long, dst long")
+    found = fixpoint.closure_by_components(ring).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.src, r.dst) for r in found} == {(a, b) for a in range(61) for b in range(60)} and len(found) == 61 * 60
+    assert len({r.task for r in found}) > 1
+
+
+def test_trimming_needs_no_round_where_every_node_has_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "SMALL_EDGES", 0)
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (6, 1), (7, 6)], "src long, dst long")
+    ends = {r.node: (r.leaves, r.enters) for r in fixpoint._ends(edges).collect()}
+    assert ends[5] == (False, True) and ends[7] == (True, False) and ends[1] == (True, True)
+    assert {(r.node, r.scc) for r in fixpoint.components(edges).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
