@@ -75,6 +75,13 @@ def test_pieces_give_what_the_whole_gives(source):
         assert pieces.module("shop/bakery.py", parts) | {"functions": list(pieces.functions(parts))} == lower.lower_module("shop/bakery.py", source)
 
 
+@pytest.mark.parametrize("source", ODD + ["def f(a):\n    return " + "-" * 600 + "a\n\n\nclass C:\n    def m(self):\n        return " + "-" * 600 + "a\n"])
+def test_modules_without_bodies_are_the_same(source):
+    parts = pieces.Pieces(bodies=False).of("shop/bakery.py", source)
+    got, want = pieces.module("shop/bakery.py", parts), lower.lower_module("shop/bakery.py", source)
+    assert got | {"functions": 0} == want | {"functions": 0}
+
+
 def test_a_text_is_lowered_once_whatever_its_function_is_called(monkeypatch):
     made = []
     inner = lower.lower_function
